@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,21 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable on the executors, once per application (a zip of its sources, sent by Spark)."""
+    context = spark.sparkContext
+    if getattr(context, "_methyloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if not root.endswith(".zip") and os.path.isdir(root):
+        target = os.path.join(tempfile.mkdtemp(prefix="methyloom-src-"), "methyloom_src.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for folder, _, files in os.walk(root):
+                for name in files:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(target)
+    context._methyloom_shipped = True
