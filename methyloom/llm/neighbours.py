@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, stored
+from ..session import cut
 
 #: Rows of one posting list that are worked on together; longer lists are split into blocks, each pair of which meets.
 LIST_ROWS = 8192
@@ -113,9 +113,9 @@ def search_list(x: np.ndarray, perm: np.ndarray, left: np.ndarray, right: np.nda
     return np.concatenate(rows), np.concatenate(others), np.concatenate(sims)
 
 
-def choose_pivots(classes: DataFrame, count: int, dim: int) -> np.ndarray:
-    """``count`` distinct vectors, the first by a hash: a bounded sample, fixed by the data."""
-    raw = [bytes(r.v) for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(count).collect()]
+def choose_pivots(vectors: DataFrame, count: int, dim: int) -> np.ndarray:
+    """Up to ``count`` distinct vectors, of the first 2 * ``count`` by a hash: a bounded sample, fixed by the data."""
+    raw = list(dict.fromkeys(bytes(r.v) for r in vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(2 * count).collect()))[:count]
     return unit(np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)) if raw else np.zeros((0, dim), np.float32)
 
 
@@ -140,13 +140,10 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
     spark = df.sparkSession
     kind = df.schema[ident].dataType.simpleString()
     vectors = usable_vectors(df, ident, vector, dim)
-    classes = vectors.groupBy("v").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
-    classes = cut(classes)
-    n = classes.count()
-    chosen = choose_pivots(classes, pivots or min(MOST_PIVOTS, max(32, 2 * math.isqrt(n))), dim)
+    chosen = choose_pivots(vectors, pivots or min(MOST_PIVOTS, max(32, 2 * math.isqrt(df.count()))), dim)
     shared = spark.sparkContext.broadcast(chosen)
     length, post = min(length, len(chosen)), min(post, len(chosen))
-    if not n:
+    if not len(chosen):
         return spark.createDataFrame([], f"id {kind}, other {kind}, cosine DOUBLE")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +152,10 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
                 perm = permutations(unit(matrix(b.column(1), dim)), shared.value, length)
                 raw = pa.array([p.tobytes() for p in perm], pa.binary())
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(perm[:, :post].ravel().astype(np.int32)), post).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), raw, lists], names=["rep", "v", "perm", "lists"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), raw, lists], names=["rep", "v", "top", "perm", "lists"])
 
-    posted = cut(classes.select("rep", "v").mapInArrow(listed, f"rep {kind}, v BINARY, perm BINARY, lists ARRAY<INT>"))
+    classes = vectors.groupBy("v").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
+    posted = cut(classes.select("rep", "v", "top").mapInArrow(listed, f"rep {kind}, v BINARY, top {kind}, perm BINARY, lists ARRAY<INT>"))
     # as many counts as pivots
     long = {r.list: -(-r.n // LIST_ROWS) for r in posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS).collect()}
     postings = posted.select("rep", "v", "perm", F.explode("lists").alias("list"))
@@ -182,14 +180,14 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
 
     edges = postings.groupBy("list", "b0", "b1").applyInArrow(search, f"x {kind}, y {kind}, cosine DOUBLE")
     edges = edges.groupBy("x", "y").agg(F.max("cosine").alias("cosine"))
-    return _members(vectors, classes, edges, k, least, queries).select("id", "other", "cosine")
+    return _members(vectors, posted, edges, k, least, queries).select("id", "other", "cosine")
 
 
 def _members(vectors: DataFrame, classes: DataFrame, edges: DataFrame, k: int, least: float, queries: DataFrame | None) -> DataFrame:
     """Neighbours of rows from the neighbours of classes of equal vectors."""
-    plural = classes.where("rep < top").select("v", "rep")
-    # members of the classes that have several: few of a class are ever neighbours, the first k + 1 by id
-    members = vectors.join(plural, "v").select("rep", "id").distinct()
+    # of a class with several members few are ever neighbours: the first k + 1 by id. Vectors meet by 128 bits of them
+    plural = classes.where("rep < top").select(F.md5("v").alias("h"), "rep")
+    members = vectors.select("id", F.md5("v").alias("h")).join(plural, "h").select("rep", "id").distinct()
     first = _first_members(members, k + 1)
     edges = edges.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("cosine"), "y"))).where(F.col("rank") <= k).drop("rank")
     x_members = members.withColumnRenamed("rep", "x")
