@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .neighbours import matrix, usable_vectors
+from .neighbours import first_by_hash, matrix, usable_vectors
 
 #: Rows, by hash of the id, from which starting points are drawn. Only the start depends on them: means, weights,
 #: covariances and the information criterion come from all rows.
@@ -176,7 +176,7 @@ def mixture_members(df: DataFrame, ident: str, vector: str, dim: int, label: Col
     def features(b: pa.Array) -> np.ndarray:
         return reducer(matrix(b, dim).astype(np.float64))
 
-    first = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
+    first = first_by_hash(vectors, "id", sample, n).select("v").collect()
     z = reducer(np.frombuffer(b"".join(bytes(r.v) for r in first), np.float32).reshape(-1, dim).astype(np.float64))
     models = [start(z, k, ridge) for k in components if 4 * k <= len(z)] or [start(z, 1, ridge)]
 

@@ -113,9 +113,17 @@ def search_list(x: np.ndarray, perm: np.ndarray, left: np.ndarray, right: np.nda
     return np.concatenate(rows), np.concatenate(others), np.concatenate(sims)
 
 
-def choose_pivots(vectors: DataFrame, count: int, dim: int) -> np.ndarray:
+def first_by_hash(df: DataFrame, key: str, count: int, n: int) -> DataFrame:
+    """The first ``count`` of ``n`` rows by a hash of ``key``. Rows with a hash above where about four times as many lie
+    are dropped in the scan, so what tasks send to the driver is bounded together, not each by ``count``."""
+    limit = -(1 << 63) + int((1 << 64) * min(1.0, (4 * count + 64) / max(n, 1)))
+    rows = df if limit >= 1 << 63 else df.where(F.xxhash64(key) < F.lit(limit))
+    return rows.orderBy(F.xxhash64(key), key).limit(count)
+
+
+def choose_pivots(vectors: DataFrame, count: int, dim: int, n: int) -> np.ndarray:
     """Up to ``count`` distinct vectors, of the first 2 * ``count`` by a hash: a bounded sample, fixed by the data."""
-    raw = list(dict.fromkeys(bytes(r.v) for r in vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(2 * count).collect()))[:count]
+    raw = list(dict.fromkeys(bytes(r.v) for r in first_by_hash(vectors.select("v"), "v", 2 * count, n).collect()))[:count]
     return unit(np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)) if raw else np.zeros((0, dim), np.float32)
 
 
@@ -140,7 +148,8 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
     spark = df.sparkSession
     kind = df.schema[ident].dataType.simpleString()
     vectors = usable_vectors(df, ident, vector, dim)
-    chosen = choose_pivots(vectors, pivots or min(MOST_PIVOTS, max(32, 2 * math.isqrt(df.count()))), dim)
+    n = df.count()
+    chosen = choose_pivots(vectors, pivots or min(MOST_PIVOTS, max(32, 2 * math.isqrt(n))), dim, n)
     shared = spark.sparkContext.broadcast(chosen)
     length, post = min(length, len(chosen)), min(post, len(chosen))
     if not len(chosen):
