@@ -23,11 +23,12 @@ COMPONENTS = (1, 2, 4, 6, 8, 10, 12, 14, 15, 16, 17, 18, 20, 24)
 
 @dataclass
 class Mixture:
-    """Weights (k), means (k x d) and covariances (k x d x d)."""
+    """Weights (k), means (k x d) and covariances (k x d x d); ``tied``: all components have the same covariance."""
 
     weight: np.ndarray
     mean: np.ndarray
     cov: np.ndarray
+    tied: bool = False
 
     def log_density(self, z: np.ndarray) -> np.ndarray:
         """Log of weight times density of each row under each component."""
@@ -42,7 +43,7 @@ class Mixture:
 
     def free_parameters(self) -> int:
         k, d = self.mean.shape
-        return k * (1 + d + d * (d + 1) // 2) - 1
+        return k * (1 + d) - 1 + (1 if self.tied else k) * (d * (d + 1) // 2)
 
 
 def soft(logs: np.ndarray) -> tuple[np.ndarray, float]:
@@ -61,28 +62,33 @@ def sufficient(model: Mixture, z: np.ndarray) -> np.ndarray:
     return np.concatenate([[like], r.sum(0), first.ravel(), second.ravel()])
 
 
-def updated(stats: np.ndarray, k: int, d: int, n: float, ridge: float) -> Mixture:
+def updated(stats: np.ndarray, k: int, d: int, n: float, ridge: float, tied: bool = False) -> Mixture:
     """The mixture of the sums; covariances are regularised by ``ridge`` and, with few rows, drawn to the identity."""
     n_k, first, second = stats[1 : 1 + k], stats[1 + k : 1 + k + k * d].reshape(k, d), stats[1 + k + k * d :].reshape(k, d, d)
     live = np.maximum(n_k, 1e-9)
     mean = first / live[:, None]
     cov = second / live[:, None, None] - mean[:, :, None] * mean[:, None, :]
+    if tied:
+        cov = np.broadcast_to(np.einsum("k,kij->ij", n_k, cov) / max(n, 1.0), cov.shape)
+        cov = (cov + cov.transpose(0, 2, 1)) / 2 + ridge * np.eye(d)
+        return Mixture(np.maximum(n_k / n, 1e-12), mean, cov, True)
     prior = d + 2.0
     cov = (cov * live[:, None, None] + prior * np.eye(d) * ridge * 10) / (live[:, None, None] + prior)
     cov = (cov + cov.transpose(0, 2, 1)) / 2 + ridge * np.eye(d)
     return Mixture(np.maximum(n_k / n, 1e-12), mean, cov)
 
 
-def start(z: np.ndarray, k: int, ridge: float, steps: int = 12, tries: int = 4) -> Mixture:
-    """A mixture of ``k`` components on the sample: k-means from spread-out seeds, then a few EM steps."""
+def start(z: np.ndarray, k: int, ridge: float, steps: int = 10, tries: int = 4) -> list[Mixture]:
+    """Mixtures of ``k`` components on the sample, with own and with one covariance: k-means from spread-out seeds,
+    then a few EM steps."""
     rng = np.random.default_rng(k)
     best, least = None, np.inf
     for _ in range(tries):
         centre = z[[rng.integers(len(z))]]
         near = ((z - centre[0]) ** 2).sum(1)
         for _ in range(k - 1):
-            # of a few draws by squared distance the one that helps most
-            draw = rng.choice(len(z), 4, p=near / near.sum()) if near.sum() > 0 else rng.integers(len(z), size=4)
+            # of some draws by squared distance the one that helps most
+            draw = rng.choice(len(z), 8, p=near / near.sum()) if near.sum() > 0 else rng.integers(len(z), size=8)
             options = np.minimum(near, ((z[None, :, :] - z[draw][:, None, :]) ** 2).sum(2))
             pick = options.sum(1).argmin()
             centre, near = np.vstack([centre, z[draw[pick]]]), options[pick]
@@ -98,10 +104,13 @@ def start(z: np.ndarray, k: int, ridge: float, steps: int = 12, tries: int = 4)
     centre, own = best
     hard = np.eye(k)[own]
     stats = np.concatenate([[0.0], hard.sum(0), (hard.T @ z).ravel(), np.stack([(z * hard[:, [i]]).T @ z for i in range(k)]).ravel()])
-    model = updated(stats, k, z.shape[1], len(z), ridge)
-    for _ in range(steps):
-        model = updated(sufficient(model, z), k, z.shape[1], len(z), ridge)
-    return model
+    models = []
+    for tied in (False, True):
+        model = updated(stats, k, z.shape[1], len(z), ridge, tied)
+        for _ in range(steps):
+            model = updated(sufficient(model, z), k, z.shape[1], len(z), ridge, tied)
+        models.append(model)
+    return models
 
 
 def summed(df: DataFrame, make: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
@@ -158,8 +167,8 @@ def mixture_members(df: DataFrame, ident: str, vector: str, dim: int, label: Col
     the result is empty; fewer rows than components leave out those numbers of components.
 
     Vectors are standardised and reduced to their first principal axes (moments of all rows, one pass). Starting points
-    come from a bounded sample; then one pass over all rows gives every competing number of components its likelihood
-    and sums, the Bayesian information criterion over all rows picks one, and up to ``rounds`` passes of
+    come from a bounded sample; then one pass over all rows gives every competing number of components, with own and with
+    one common covariance, its likelihood and sums, the Bayesian information criterion over all rows picks one, and up to ``rounds`` passes of
     expectation-maximisation over all rows refine it. A pass adds up sums in the tasks: what moves grows with
     components times features squared, not with rows.
     """
@@ -178,7 +187,7 @@ def mixture_members(df: DataFrame, ident: str, vector: str, dim: int, label: Col
 
     first = first_by_hash(vectors, "id", sample, n).select("v").collect()
     z = reducer(np.frombuffer(b"".join(bytes(r.v) for r in first), np.float32).reshape(-1, dim).astype(np.float64))
-    models = [start(z, k, ridge) for k in components if 4 * k <= len(z)] or [start(z, 1, ridge)]
+    models = [m for k in components if 4 * k <= len(z) for m in start(z, k, ridge)] or start(z, 1, ridge)
 
     def one_pass(models: Sequence[Mixture]) -> list[np.ndarray]:
         sizes = [1 + len(m.weight) * (1 + d + d * d) for m in models]
@@ -188,10 +197,11 @@ def mixture_members(df: DataFrame, ident: str, vector: str, dim: int, label: Col
     stats = one_pass(models)
     criterion = [m.free_parameters() * math.log(n) - 2 * s[0] for m, s in zip(models, stats)]
     pick = int(np.argmin(criterion))
-    model, like = updated(stats[pick], len(models[pick].weight), d, n, ridge), stats[pick][0]
+    tied, like = models[pick].tied, stats[pick][0]
+    model = updated(stats[pick], len(models[pick].weight), d, n, ridge, tied)
     for _ in range(rounds):
         (s,) = one_pass([model])
-        model = updated(s, len(model.weight), d, n, ridge)
+        model = updated(s, len(model.weight), d, n, ridge, tied)
         if abs(s[0] - like) < 1e-5 * abs(like):
             break
         like = s[0]
