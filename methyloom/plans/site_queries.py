@@ -135,7 +135,7 @@ def clip_large_cov(spark, sf):
     return sites(spark, sf).select("cell", "chrom", "pos", mc.alias("mc"), cov.alias("cov"))
 
 
-@query(f"""WITH {SITES}, {REGIONS} SELECT DISTINCT s.cell, s.chrom, s.pos, s.context, s.strand, s.mc, s.cov FROM sites s JOIN regions r ON s.chrom = r.chrom AND s.pos > r.start AND s.pos <= r."end"""")
+@query(f"""WITH {SITES}, {REGIONS} SELECT DISTINCT s.cell, s.chrom, s.pos, s.context, s.strand, s.mc, s.cov FROM sites s JOIN regions r ON s.chrom = r.chrom AND s.pos > r.start AND s.pos <= r."end" """)
 def fetch_regions(spark, sf):
     return rj.fetch_regions(sites(spark, sf), regions(spark, sf)).select("cell", "chrom", "pos", "context", "strand", "mc", "cov").distinct()
 
