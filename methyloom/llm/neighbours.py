@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stored
 
 #: Rows of one posting list that are worked on together; longer lists are split into blocks, each pair of which meets.
 LIST_ROWS = 8192
@@ -164,7 +164,7 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), raw, lists], names=["rep", "v", "top", "perm", "lists"])
 
     classes = vectors.groupBy("v").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
-    posted = cut(classes.select("rep", "v", "top").mapInArrow(listed, f"rep {kind}, v BINARY, top {kind}, perm BINARY, lists ARRAY<INT>"))
+    posted = stored(classes.select("rep", "v", "top").mapInArrow(listed, f"rep {kind}, v BINARY, top {kind}, perm BINARY, lists ARRAY<INT>"), "postings", compression="zstd")
     # as many counts as pivots
     long = {r.list: -(-r.n // LIST_ROWS) for r in posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS).collect()}
     postings = posted.select("rep", "v", "perm", F.explode("lists").alias("list"))
