@@ -87,7 +87,7 @@ def enrichment_score(spark, sf):
 @query()
 def cluster_enriched_features(spark, sf):
     """Null scores come from labels dealt by a seeded hash."""
-    e = en.enriched_features(fracs(spark, sf), clusters(spark, sf))
+    e = en.enriched_features(fracs(spark, sf), clusters(spark, sf), alpha=1.0)
     return e.withColumns({c: F.round(c, 6) for c in ("enrichment", "p_value", "q_value")})
 
 
