@@ -125,11 +125,11 @@ def enriched_features(values: DataFrame, cells: DataFrame, top_n: int = 200, alp
 
     dealt = global_rank(cells.select("cell", F.xxhash64(F.lit(seed), "cell").alias("h")), None, [F.col("h"), F.col("cell")]).select("cell", "rank")
     labels = global_rank(cells.select("cluster", "cell"), None, [F.col("cell")]).select("cluster", "rank")
-    null = cluster_enrichment(values, dealt.join(labels, "rank").select("cell", "cluster")).select("cluster", F.col("enrichment").alias("e"), F.lit(1).alias("null"))
-    both = real.select("cluster", "region", F.col("enrichment").alias("e"), F.lit(0).alias("null")).unionByName(null.withColumn("region", F.lit(None).cast("string")))
+    null = cluster_enrichment(values, dealt.join(labels, "rank").select("cell", "cluster")).select("cluster", F.col("enrichment").alias("e"), F.lit(1).alias("shuffled"))
+    both = real.select("cluster", "region", F.col("enrichment").alias("e"), F.lit(0).alias("shuffled")).unionByName(null.withColumn("region", F.lit(None).cast("string")))
     w = Window.partitionBy("cluster").orderBy(F.desc("e")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    p = F.try_divide(F.sum("null").over(w), F.sum("null").over(Window.partitionBy("cluster")))
-    tested = both.withColumn("p_value", p).where("null = 0").withColumn("q_value", bh_within(F.col("p_value"), [F.col("cluster")]))
+    p = F.try_divide(F.sum("shuffled").over(w), F.sum("shuffled").over(Window.partitionBy("cluster")))
+    tested = both.withColumn("p_value", p).where("shuffled = 0").withColumn("q_value", bh_within(F.col("p_value"), [F.col("cluster")]))
     ok = tested.where(F.col("q_value") <= alpha).withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("e"), "region")))
     return ok.where(F.col("rank") <= top_n).select("cluster", "region", F.col("e").alias("enrichment"), "p_value", "q_value", "rank")
 
