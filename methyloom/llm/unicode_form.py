@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # Letters of another script with the shape of a Latin letter, and that letter. Cyrillic, then Greek.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
@@ -259,19 +262,27 @@ def shows_something(form: Column) -> Column:
 
 def alike_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``class_id``, ``text_id``: one row per text that shows something. Texts that read the same share
-    ``class_id`` (128 bits of the form, hexadecimal), equal texts share ``text_id``."""
+    ``class_id`` (128 bits of the form, hexadecimal), equal texts share ``text_id``. One pass, each form made once."""
+    kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`")
-    formed = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), consistent_form(text).alias("form"))
-    return formed.where(shows_something(F.col("form"))).select("id", F.md5("form").alias("class_id"), F.md5("text").alias("text_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), consistent(b.column(2))], names=["id", "text_id", "form"])
+
+    rows = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.md5(text).alias("text_id"), text.alias("text"))
+    formed = rows.mapInArrow(run, f"id {kind}, text_id STRING, form STRING")
+    return formed.where(shows_something(F.col("form"))).select("id", F.md5("form").alias("class_id"), "text_id")
 
 
 def alike_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id_a``, ``id_b``: every two rows whose texts differ but read the same, the smaller id first.
 
     Classes all of whose texts are equal are found by an aggregate with a partial step and go no further, so that
-    copies of one text, however many, cost nothing more. Ids are taken to be unique; null and blank texts are left out.
+    copies of one text, however many, cost nothing more. Classes are kept as a table of two hashes per row in the shared
+    folder, so texts are read once. Ids are taken to be unique; null and blank texts are left out.
     """
-    rows = alike_classes(docs, id_col, text_col)
+    rows = stored(alike_classes(docs, id_col, text_col), "alike")
     mixed = rows.groupBy("class_id").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi").select("class_id")
     held = rows.join(mixed, "class_id", "left_semi")
     a, b = held.select("class_id", F.col("id").alias("id_a"), F.col("text_id").alias("text_a")), held.select("class_id", F.col("id").alias("id_b"), F.col("text_id").alias("text_b"))
