@@ -6,7 +6,6 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .functions.sequence import pattern_table
 from .operators import matrix as mx
 from .operators import sites as so
 from .sources import readers, writers
@@ -119,33 +118,5 @@ def _pattern_or_context(strandness: str):
     return F.col("pattern") if strandness == "merge" else F.col("context")
 
 
-def register_functions(spark: SparkSession) -> None:
-    """SQL functions: binom_sf(n, k, p), poisson_sf(k, mean), norm_sf(z), and a view of the IUPAC patterns."""
-    import math
-
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    from .functions.stats import incomplete_beta, log_gamma
-
-    @pandas_udf("double")
-    def binom_sf(n: pd.Series, k: pd.Series, p: pd.Series) -> pd.Series:
-        n, k, p = (x.to_numpy(dtype=float) for x in (n, k, p))
-        return pd.Series(np.where(k < 0, 1.0, np.where(k >= n, 0.0, incomplete_beta(np.maximum(k, 0) + 1, np.maximum(n - k, 1e-9), np.clip(p, 0, 1)))))
-
-    @pandas_udf("double")
-    def poisson_sf(k: pd.Series, mean: pd.Series) -> pd.Series:
-        return pd.Series([1 - sum(math.exp(-m + i * math.log(m) - float(log_gamma(np.array([i + 1.0]))[0])) for i in range(int(x) + 1)) if m > 0 else 0.0 for x, m in zip(k, mean)])
-
-    @pandas_udf("double")
-    def norm_sf(z: pd.Series) -> pd.Series:
-        return pd.Series([0.5 * math.erfc(x / math.sqrt(2)) for x in z])
-
-    for f in (binom_sf, poisson_sf, norm_sf):
-        spark.udf.register(f.__name__ if hasattr(f, "__name__") else f.func.__name__, f)
-    pattern_table(spark, ["CGN", "CHN", "HCHN", "GCYN", "CNN"]).createOrReplaceTempView("mc_patterns")
-
-
 if __name__ == "__main__":
     main()

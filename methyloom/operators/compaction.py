@@ -22,7 +22,8 @@ ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 
 
 def files_on_disk(spark: SparkSession, path: str) -> DataFrame:
-    """``file``, ``content`` of the files that ``path`` (a folder or a glob) names."""
+    """``file``, ``content`` of the files that ``path`` (a folder or a glob) names. Spark lists no files of length 0; they
+    have no bytes to lose."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 
 
