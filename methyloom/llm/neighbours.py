@@ -127,7 +127,7 @@ def choose_pivots(vectors: DataFrame, count: int, dim: int, n: int) -> np.ndarra
     return unit(np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)) if raw else np.zeros((0, dim), np.float32)
 
 
-def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, least: float = -1.0, post: int = 3, length: int = 8, keep: int = 32, pivots: int | None = None, queries: DataFrame | None = None) -> DataFrame:
+def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, least: float = -1.0, post: int = 3, length: int = 8, keep: int = 64, pivots: int | None = None, queries: DataFrame | None = None) -> DataFrame:
     """``id``, ``other``, ``cosine``: for every row its ``k`` most similar other rows by cosine, among those of at
     least ``least`` similarity; equal similarities by ``other`` ascending.
 
