@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .sequence import expand_pattern, pattern_table
 from .stats import incomplete_beta, log_gamma
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def binom_sf(n: pd.Series, k: pd.Series, p: pd.Series) -> pd.Series:
     """P(X > k) of n draws of probability p."""
     n, k, p = (x.to_numpy(dtype=float) for x in (n, k, p))
@@ -19,7 +20,7 @@ def binom_sf(n: pd.Series, k: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series(np.where(k < 0, 1.0, np.where(k >= n, 0.0, inside)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def poisson_sf(k: pd.Series, mean: pd.Series) -> pd.Series:
     """P(X > k) of mean ``mean``."""
 
@@ -30,13 +31,13 @@ def poisson_sf(k: pd.Series, mean: pd.Series) -> pd.Series:
     return pd.Series([1 - below(x, m) for x, m in zip(k, mean)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def norm_sf(z: pd.Series) -> pd.Series:
     """P(X > z) of the standard normal."""
     return pd.Series([0.5 * math.erfc(x / math.sqrt(2)) for x in z])
 
 
-@udtf(returnType="context STRING")
+@udtf(returnType=StructType([StructField("context", StringType())]))
 class MatchingContexts:
     """The concrete contexts of an IUPAC pattern."""
 

@@ -23,19 +23,20 @@ def downsampled(mc: Column, uc: Column, n_samples: Column, max_row: int = 50, ma
 
 
 def residuals(sites: DataFrame) -> DataFrame:
-    """``residual`` of each sample's methylated count at its site under independence, adjusted for both margins."""
+    """``residual`` of each sample's methylated count at its site under independence, adjusted for both margins; null
+    where a margin is empty or full."""
     w = Window.partitionBy("chrom", "pos")
     row, col, all_ = F.col("cov"), F.sum("mc").over(w), F.sum("cov").over(w)
-    e = row * col / all_
-    r = (F.col("mc") - e) / F.sqrt(e * (1 - row / all_) * (1 - col / all_))
-    return sites.withColumn("residual", F.when((all_ > 0) & (e > 0) & (row < all_) & (col < all_), r))
+    e = F.try_divide(row * col, all_)
+    spread = e * (1 - F.try_divide(row, all_)) * (1 - F.try_divide(col, all_))
+    return sites.withColumn("residual", F.when(spread > 0, F.try_divide(F.col("mc") - e, F.sqrt(spread))))
 
 
 def goodness_of_fit(sites: DataFrame) -> DataFrame:
     """chrom, pos, n, m, s: root mean square distance of the samples' (mc, uc) from independence."""
     w = Window.partitionBy("chrom", "pos")
     row, col, all_, n = F.col("cov"), F.sum("mc").over(w), F.sum("cov").over(w), F.count("*").over(w)
-    e = row * col / all_
+    e = F.try_divide(row * col, all_)
     d = (F.col("mc") - e) * (F.col("mc") - e) * 2  # the two columns of a row differ by the same amount
     return sites.select("chrom", "pos", d.alias("d"), n.alias("n"), all_.alias("m")).groupBy("chrom", "pos").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sqrt(F.sum("d") / 2 / F.max("n")).alias("s"))
 

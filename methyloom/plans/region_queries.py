@@ -107,14 +107,14 @@ def samples(spark, sf):
     return c.groupBy(at[0].alias("chrom"), (at[1].cast("long") * 100_000 + 1).alias("pos"), F.col("cluster").alias("sample")).agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))
 
 
-@query(f"""WITH {_DS}, t AS (SELECT *, sum(mc) OVER w AS c, sum(cov) OVER w AS a FROM ds WINDOW w AS (PARTITION BY chrom, pos)), e AS (SELECT *, cov * c / a AS e FROM t WHERE a > 0)
+@query(f"""WITH {_DS}, t AS (SELECT *, sum(mc) OVER w AS c, sum(cov) OVER w AS a FROM ds WINDOW w AS (PARTITION BY chrom, pos)), e AS (SELECT *, cov * c / nullif(a, 0) AS e FROM t)
   SELECT chrom, pos, sample, round(CASE WHEN e > 0 AND cov < a AND c < a THEN (mc - e) / sqrt(e * (1 - cov / a) * (1 - c / a)) END, 5) AS residual FROM e""")
 def site_residuals(spark, sf):
     return df_.residuals(samples(spark, sf)).where("cov >= 0").select("chrom", "pos", "sample", F.round("residual", 5).alias("residual"))
 
 
 @query(f"""WITH {_DS}, t AS (SELECT *, sum(mc) OVER w AS c, sum(cov) OVER w AS a, count(*) OVER w AS n FROM ds WINDOW w AS (PARTITION BY chrom, pos))
-  SELECT chrom, pos, n, CAST(a AS BIGINT) AS m, round(sqrt(sum((mc - cov * c / a) * (mc - cov * c / a) * 2) / 2 / n), 6) AS s FROM t GROUP BY chrom, pos, n, a""")
+  SELECT chrom, pos, n, CAST(a AS BIGINT) AS m, round(sqrt(sum((mc - cov * c / nullif(a, 0)) * (mc - cov * c / nullif(a, 0)) * 2) / 2 / n), 6) AS s FROM t GROUP BY chrom, pos, n, a""")
 def rms_statistic(spark, sf):
     return df_.goodness_of_fit(samples(spark, sf)).withColumn("s", F.round("s", 6))
 
@@ -172,7 +172,7 @@ def states(spark, sf):
 
 _ST = f"""{_DS}, st AS (SELECT chrom || '-' || pos AS dmr, sample, CASE WHEN residual < -1 THEN -1 WHEN residual > 1 THEN 1 ELSE 0 END AS state FROM
   (SELECT *, CASE WHEN e > 0 AND cov < a AND c < a THEN (mc - e) / sqrt(e * (1 - cov / a) * (1 - c / a)) END AS residual FROM
-   (SELECT *, cov * c / a AS e FROM (SELECT *, sum(mc) OVER w AS c, sum(cov) OVER w AS a FROM ds WINDOW w AS (PARTITION BY chrom, pos)) WHERE a > 0)))"""
+   (SELECT *, cov * c / nullif(a, 0) AS e FROM (SELECT *, sum(mc) OVER w AS c, sum(cov) OVER w AS a FROM ds WINDOW w AS (PARTITION BY chrom, pos)))))"""
 
 
 @query(f"""WITH {_ST} SELECT dmr, split_part(sample, '-', 1) AS sample, CAST(CASE WHEN min(state) = max(state) THEN min(state) ELSE 0 END AS TINYINT) AS state FROM st GROUP BY 1, 2""")
