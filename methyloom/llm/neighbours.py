@@ -161,27 +161,32 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
                 perm = permutations(unit(matrix(b.column(1), dim)), shared.value, length)
                 raw = pa.array([p.tobytes() for p in perm], pa.binary())
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(perm[:, :post].ravel().astype(np.int32)), post).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), raw, lists], names=["rep", "v", "top", "perm", "lists"])
+                yield pa.RecordBatch.from_arrays([*b.columns, raw, lists], names=["rep", "v", "top", "asked", "perm", "lists"])
 
-    classes = vectors.groupBy("v").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
-    posted = stored(classes.select("rep", "v", "top").mapInArrow(listed, f"rep {kind}, v BINARY, top {kind}, perm BINARY, lists ARRAY<INT>"), "postings", compression="zstd")
+    asked, marked = F.bool_or(F.lit(True)), vectors
+    if queries is not None:
+        marked = vectors.join(queries.select(F.col("id").alias("asked")).distinct(), F.col("id") == F.col("asked"), "left")
+        asked = F.bool_or(F.col("asked").isNotNull())
+    classes = marked.groupBy("v").agg(F.min("id").alias("rep"), F.max("id").alias("top"), asked.alias("asked"))
+    posted = stored(classes.select("rep", "v", "top", "asked").mapInArrow(listed, f"rep {kind}, v BINARY, top {kind}, asked BOOLEAN, perm BINARY, lists ARRAY<INT>"), "postings", compression="zstd")
     # as many counts as pivots
     long = {r.list: -(-r.n // LIST_ROWS) for r in posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS).collect()}
-    postings = posted.select("rep", "v", "perm", F.explode("lists").alias("list"))
+    postings = posted.select("rep", "v", "asked", "perm", F.explode("lists").alias("list"))
     if long:
         blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in long.items() for x in item]), F.col("list")), F.lit(1))
         postings = postings.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        postings = postings.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "v", "perm", "list", "own", F.least("own", "with").alias("b0"), F.greatest("own", "with").alias("b1"))
+        postings = postings.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "v", "asked", "perm", "list", "own", F.least("own", "with").alias("b0"), F.greatest("own", "with").alias("b1"))
     else:
         postings = postings.select("*", *[F.lit(0).alias(c) for c in ("own", "b0", "b1")])
 
     def search(key: tuple, t: pa.Table) -> pa.Table:
         x, perm = unit(matrix(t["v"], dim)), np.frombuffer(b"".join(t["perm"].to_pylist()), np.int16).reshape(-1, length)
         own, b0, b1 = t["own"].to_numpy(), key[1].as_py(), key[2].as_py()
+        ask = np.asarray(t["asked"])
         if b0 == b1:
-            pairs = [(np.arange(len(x)), np.arange(len(x)))]
+            pairs = [(np.flatnonzero(ask), np.arange(len(x)))]
         else:
-            pairs = [(np.flatnonzero(own == b0), np.flatnonzero(own == b1)), (np.flatnonzero(own == b1), np.flatnonzero(own == b0))]
+            pairs = [(np.flatnonzero(ask & (own == b0)), np.flatnonzero(own == b1)), (np.flatnonzero(ask & (own == b1)), np.flatnonzero(own == b0))]
         parts = [search_list(x, perm, a, z, keep, k, least, b0 == b1) for a, z in pairs if len(a) and len(z)]
         i, j, s = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, int),) * 3
         rep = t["rep"].combine_chunks()
