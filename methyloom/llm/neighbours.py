@@ -79,7 +79,7 @@ def footrule_gain(query: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return total
 
 
-def search_list(x: np.ndarray, perm: np.ndarray, left: np.ndarray, right: np.ndarray, keep: int, k: int, least: float, self_pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_list(x: np.ndarray, perm: np.ndarray, left: np.ndarray, right: np.ndarray, keep: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every row of ``left``: of the ``keep`` rows of ``right`` nearest by footrule the ``k`` most similar by cosine,
     if at least ``least``. Rows are places in ``x`` (unit vectors) and ``perm``. Gives (row, other row, cosine)."""
     used, local = np.unique(perm, return_inverse=True)
@@ -90,19 +90,20 @@ def search_list(x: np.ndarray, perm: np.ndarray, left: np.ndarray, right: np.nda
     at = np.full(len(x), -1)
     at[right] = np.arange(len(right))
     rows, others, sims = [], [], []
-    for a in range(0, len(left), 512):
-        q = left[a : a + 512]
-        gain = footrule_gain(local[q], weight)
-        if self_pairs:
-            own = at[q] >= 0
+    step = max(1, min(512, (1 << 21) // max(1, min(keep, len(right)))))
+    for a in range(0, len(left), step):
+        q = left[a : a + step]
+        own = at[q] >= 0
+        if keep < len(right):
+            gain = footrule_gain(local[q], weight)
             gain[np.flatnonzero(own), at[q][own]] = 0
-        if keep < gain.shape[1]:
             near = np.argpartition(gain, gain.shape[1] - keep, axis=1)[:, gain.shape[1] - keep :]
-        else:
-            near = np.tile(np.arange(gain.shape[1]), (len(q), 1))
-        some = np.take_along_axis(gain, near, 1) > 0
-        sim = np.einsum("ijk,ik->ij", x[right[near]], x[q], optimize=True)
-        sim[~some] = -2
+            sim = np.einsum("ijk,ik->ij", x[right[near]], x[q], optimize=True)
+            sim[np.take_along_axis(gain, near, 1) == 0] = -2
+        else:  # the list is short enough to be ranked by cosine as a whole
+            near = np.broadcast_to(np.arange(len(right)), (len(q), len(right)))
+            sim = x[q] @ x[right].T
+            sim[np.flatnonzero(own), at[q][own]] = -2
         if k < sim.shape[1]:
             best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
             near, sim = np.take_along_axis(near, best, 1), np.take_along_axis(sim, best, 1)
@@ -127,7 +128,7 @@ def choose_pivots(vectors: DataFrame, count: int, dim: int, n: int) -> np.ndarra
     return unit(np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)) if raw else np.zeros((0, dim), np.float32)
 
 
-def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, least: float = -1.0, post: int = 3, length: int = 8, keep: int = 64, pivots: int | None = None, queries: DataFrame | None = None) -> DataFrame:
+def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, least: float = -1.0, post: int = 3, length: int = 8, keep: int = 64, pivots: int | None = None, queries: DataFrame | None = None, probe: int | None = None) -> DataFrame:
     """``id``, ``other``, ``cosine``: for every row its ``k`` most similar other rows by cosine, among those of at
     least ``least`` similarity; equal similarities by ``other`` ascending.
 
@@ -137,8 +138,9 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
 
     Index: ``pivots`` vectors (twice the root of the number of vectors, at most MOST_PIVOTS, so that posting lists stay
     of the order of the root) are taken by hash. Every vector is written as the list of its ``length`` nearest pivots
-    in order, and posted in the lists of its first ``post`` pivots. Within a list vectors are ranked by the footrule
-    distance of their pivot lists, and the ``keep`` nearest are ranked again by cosine. Results of a row's lists are
+    in order, and posted in the lists of its first ``post`` pivots; it is looked for in those of its first ``probe``
+    (as many unless told). Within a list of more than ``keep`` vectors they are ranked by the footrule distance of their
+    pivot lists, and the ``keep`` nearest are ranked again by cosine. Results of a row's lists are
     merged by a bounded ranking.
 
     Equal vectors are one class with a representative, so copies, however many, are posted once. Lists of more than
@@ -151,7 +153,9 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
     n = df.count()
     chosen = choose_pivots(vectors, pivots or min(MOST_PIVOTS, max(32, 2 * math.isqrt(n))), dim, n)
     shared = spark.sparkContext.broadcast(chosen)
-    length, post = min(length, len(chosen)), min(post, len(chosen))
+    probe = min(probe or post, len(chosen))
+    length, post = min(max(length, probe), len(chosen)), min(post, len(chosen))
+    most = max(post, probe)
     if not len(chosen):
         return spark.createDataFrame([], f"id {kind}, other {kind}, cosine DOUBLE")
 
@@ -160,7 +164,7 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
             if b.num_rows:
                 perm = permutations(unit(matrix(b.column(1), dim)), shared.value, length)
                 raw = pa.array([p.tobytes() for p in perm], pa.binary())
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(perm[:, :post].ravel().astype(np.int32)), post).cast(pa.list_(pa.int32()))
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(perm[:, :most].ravel().astype(np.int32)), most).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, raw, lists], names=["rep", "v", "top", "asked", "perm", "lists"])
 
     asked, marked = F.bool_or(F.lit(True)), vectors
@@ -169,25 +173,25 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
         asked = F.bool_or(F.col("asked").isNotNull())
     classes = marked.groupBy("v").agg(F.min("id").alias("rep"), F.max("id").alias("top"), asked.alias("asked"))
     posted = stored(classes.select("rep", "v", "top", "asked").mapInArrow(listed, f"rep {kind}, v BINARY, top {kind}, asked BOOLEAN, perm BINARY, lists ARRAY<INT>"), "postings", compression="zstd")
+    held = F.col("place") < post
+    postings = posted.select("rep", "v", "asked", "perm", F.posexplode("lists").alias("place", "list"))
+    postings = postings.withColumns({"asked": F.col("asked") & (F.col("place") < probe), "held": held}).where("asked OR held").drop("place")
     # as many counts as pivots
-    long = {r.list: -(-r.n // LIST_ROWS) for r in posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS).collect()}
-    postings = posted.select("rep", "v", "asked", "perm", F.explode("lists").alias("list"))
+    long = {r.list: -(-r.n // LIST_ROWS) for r in postings.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS).collect()}
     if long:
         blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in long.items() for x in item]), F.col("list")), F.lit(1))
         postings = postings.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        postings = postings.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "v", "asked", "perm", "list", "own", F.least("own", "with").alias("b0"), F.greatest("own", "with").alias("b1"))
+        postings = postings.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "v", "asked", "held", "perm", "list", "own", F.least("own", "with").alias("b0"), F.greatest("own", "with").alias("b1"))
     else:
         postings = postings.select("*", *[F.lit(0).alias(c) for c in ("own", "b0", "b1")])
 
     def search(key: tuple, t: pa.Table) -> pa.Table:
         x, perm = unit(matrix(t["v"], dim)), np.frombuffer(b"".join(t["perm"].to_pylist()), np.int16).reshape(-1, length)
         own, b0, b1 = t["own"].to_numpy(), key[1].as_py(), key[2].as_py()
-        ask = np.asarray(t["asked"])
-        if b0 == b1:
-            pairs = [(np.flatnonzero(ask), np.arange(len(x)))]
-        else:
-            pairs = [(np.flatnonzero(ask & (own == b0)), np.flatnonzero(own == b1)), (np.flatnonzero(ask & (own == b1)), np.flatnonzero(own == b0))]
-        parts = [search_list(x, perm, a, z, keep, k, least, b0 == b1) for a, z in pairs if len(a) and len(z)]
+        ask, held = np.asarray(t["asked"]), np.asarray(t["held"])
+        sides = [(b0, b0)] if b0 == b1 else [(b0, b1), (b1, b0)]
+        pairs = [(np.flatnonzero(ask & (own == a)), np.flatnonzero(held & (own == z))) for a, z in sides]
+        parts = [search_list(x, perm, a, z, keep, k, least) for a, z in pairs if len(a) and len(z)]
         i, j, s = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, int),) * 3
         rep = t["rep"].combine_chunks()
         return pa.table({"x": rep.take(pa.array(i)), "y": rep.take(pa.array(j)), "cosine": pa.array(s.astype(np.float64))})

@@ -34,7 +34,7 @@ def twentieth(adata: DataFrame) -> DataFrame:
 def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The five most similar cells of every query cell, against all cells, whatever their similarity."""
     adata = table(spark, sf, "adata").select("cell", "X_pca")
-    return neighbours.neighbours(adata, "cell", "X_pca", DIM, k=5, post=12, length=16, keep=768, queries=twentieth(adata))
+    return neighbours.neighbours(adata, "cell", "X_pca", DIM, k=5, post=4, probe=48, keep=2048, queries=twentieth(adata))
 
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
