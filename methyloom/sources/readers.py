@@ -148,3 +148,28 @@ def read_motifs(path: str) -> list[dict]:
                 motifs[-1]["pfm"].append([float(x) for x in word])
                 rows -= 1
     return motifs
+
+
+def read_dmr_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Regions (dmr, chrom, start, end, ndms) and states (dmr, sample, state) of a table with the columns chr, start,
+    end, number_of_dms, hypermethylated_samples, hypomethylated_samples (lists joined by commas) and one level column
+    per sample. A sample that is in both lists has state 0; ends move by 2, to the end of the last CpG."""
+    t = spark.read.option("sep", "\t").option("header", "true").csv(path)
+    c = t.columns
+    t = t.withColumn("dmr", F.concat_ws("-", F.col(f"`{c[0]}`"), F.col(f"`{c[1]}`"), F.col(f"`{c[2]}`")))
+    regions = t.select("dmr", F.col(f"`{c[0]}`").alias("chrom"), F.col(f"`{c[1]}`").cast("long").alias("start"), (F.col(f"`{c[2]}`").cast("long") + 2).alias("end"), F.col(f"`{c[3]}`").cast("long").alias("ndms"))
+    sides = [t.select("dmr", F.explode(F.split(F.col(f"`{c[i]}`"), ",")).alias("sample"), F.lit(s).alias("state")).where("trim(sample) <> ''") for i, s in ((4, 1), (5, -1))]
+    states = sides[0].unionByName(sides[1]).groupBy("dmr", "sample").agg(F.sum("state").cast("tinyint").alias("state"))
+    return regions, states
+
+
+def read_project(path: str) -> dict:
+    """A project's JSON: ``metadata`` (path of the cell table) and ``matrices`` (name to glob); relative paths are
+    those beside the file."""
+    import json
+
+    with open(path) as f:
+        told = json.load(f)
+    at = os.path.dirname(os.path.abspath(path))
+    whole = lambda p: p if "://" in p or os.path.isabs(p) else os.path.join(at, p)
+    return {"metadata": whole(told["metadata"]) if told.get("metadata") else None, "matrices": {k: whole(v) for k, v in told.get("matrices", {}).items()}}

@@ -2,10 +2,10 @@
 
 import pytest
 
-from methyloom.plans import cell_queries, enrich_queries, matrix_queries, region_queries, site_queries, training_data
+from methyloom.plans import cell_queries, cluster_queries, enrich_queries, matrix_queries, region_queries, site_queries, training_data
 from tests.oracle import assert_same, connect
 
-PLANS = (training_data, site_queries, matrix_queries, region_queries, enrich_queries, cell_queries)
+PLANS = (training_data, site_queries, matrix_queries, region_queries, enrich_queries, cell_queries, cluster_queries)
 SQL = {n: (p.QUERIES[n], p.SQL[n]) for p in PLANS for n in p.SQL}
 REST = {n: f for p in PLANS for n, f in p.QUERIES.items() if n not in p.SQL}
 
