@@ -28,7 +28,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def twentieth(adata: DataFrame) -> DataFrame:
     """The query cells: those whose number is divisible by 20."""
-    return adata.where(F.pmod(F.regexp_extract("cell", r"(\d+)$", 1).cast("long"), F.lit(20)) == 0).select(F.col("cell").alias("id")).distinct()
+    return adata.where(F.pmod(F.regexp_extract("cell", r"(\d+)$", 1).try_cast("long"), F.lit(20)) == 0).select(F.col("cell").alias("id")).distinct()
 
 
 def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
