@@ -128,7 +128,7 @@ def choose_pivots(vectors: DataFrame, count: int, dim: int, n: int) -> np.ndarra
     return unit(np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)) if raw else np.zeros((0, dim), np.float32)
 
 
-def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, least: float = -1.0, post: int = 3, length: int = 8, keep: int = 64, pivots: int | None = None, queries: DataFrame | None = None, probe: int | None = None) -> DataFrame:
+def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, least: float = -1.0, post: int = 3, length: int = 12, keep: int = 96, pivots: int | None = None, queries: DataFrame | None = None, probe: int | None = None) -> DataFrame:
     """``id``, ``other``, ``cosine``: for every row its ``k`` most similar other rows by cosine, among those of at
     least ``least`` similarity; equal similarities by ``other`` ascending.
 
@@ -136,7 +136,7 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
     null, of another size than ``dim``, not finite or all zero. ``queries`` (one column ``id``) restricts whose
     neighbours are given, never among whom they are searched. An empty table gives an empty result.
 
-    Index: ``pivots`` vectors (twice the root of the number of vectors, at most MOST_PIVOTS, so that posting lists stay
+    Index: ``pivots`` vectors (the root of twice the number of vectors, at most MOST_PIVOTS, so that posting lists stay
     of the order of the root) are taken by hash. Every vector is written as the list of its ``length`` nearest pivots
     in order, and posted in the lists of its first ``post`` pivots; it is looked for in those of its first ``probe``
     (as many unless told). Within a list of more than ``keep`` vectors they are ranked by the footrule distance of their
@@ -151,7 +151,7 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
     kind = df.schema[ident].dataType.simpleString()
     vectors = usable_vectors(df, ident, vector, dim)
     n = df.count()
-    chosen = choose_pivots(vectors, pivots or min(MOST_PIVOTS, max(32, 2 * math.isqrt(n))), dim, n)
+    chosen = choose_pivots(vectors, pivots or min(MOST_PIVOTS, max(32, math.isqrt(2 * n))), dim, n)
     shared = spark.sparkContext.broadcast(chosen)
     probe = min(probe or post, len(chosen))
     length, post = min(max(length, probe), len(chosen)), min(post, len(chosen))
