@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import label_key, make_room
+from ..session import stored
 
 
 @dataclass(frozen=True)
@@ -20,21 +21,22 @@ class Field:
     how: str = "median"
 
 
-def group_statistics(df: DataFrame, fields: Sequence[Field], keys: Sequence[str], min_support: int) -> DataFrame:
+def group_statistics(df: DataFrame, fields: Sequence[Field], keys: Sequence[str], min_support: int, weight: Column | None = None) -> DataFrame:
     """``keys`` and for each field ``__v_<name>``: its statistic in the group, null under ``min_support`` usable values.
 
-    Groups with a null key are left out.
+    A row stands for ``weight`` rows (medians only). Groups with a null key are left out.
     """
     made = []
     for f in fields:
-        v = F.percentile(f.valid, 0.5) if f.how == "median" else F.mode(f.valid, True)
-        made.append(F.when(F.count(f.valid) >= min_support, v).alias(f"__v_{f.name}"))
+        times = F.lit(1) if weight is None else weight
+        v = F.percentile(f.valid, 0.5, times) if f.how == "median" else F.mode(f.valid, True)
+        made.append(F.when(F.sum(F.when(f.valid.isNotNull(), times)) >= min_support, v).alias(f"__v_{f.name}"))
     for k in keys:
         df = df.where(F.col(f"`{k}`").isNotNull())
     return df.groupBy(*[f"`{k}`" for k in keys]).agg(*made)
 
 
-def back_off(rows: DataFrame, cases: DataFrame, fields: Sequence[Field], levels: Sequence[Sequence[str]], min_support: int) -> DataFrame:
+def back_off(rows: DataFrame, cases: DataFrame, fields: Sequence[Field], levels: Sequence[Sequence[str]], min_support: int, weight: Column | None = None) -> DataFrame:
     """``cases`` with ``__v_<name>``, the statistic of the finest level of ``rows`` that has one, and ``__l_<name>``,
     the number of that level (-1 and a null value where none has).
 
@@ -44,9 +46,9 @@ def back_off(rows: DataFrame, cases: DataFrame, fields: Sequence[Field], levels:
     names = [f.name for f in fields]
     for i, keys in enumerate(levels):
         if keys:
-            stats = group_statistics(rows, fields, keys, min_support)
+            stats = group_statistics(rows, fields, keys, min_support, weight)
         else:
-            stats = group_statistics(rows.withColumn("__all", F.lit(1)), fields, ["__all"], 1)
+            stats = group_statistics(rows.withColumn("__all", F.lit(1)), fields, ["__all"], 1, weight)
         on = list(keys) or ["__all"]
         stats = stats.select(*[F.col(f"`{k}`").alias(f"__j{j}") for j, k in enumerate(on)], *[F.col(f"__v_{n}").alias(f"__v{i}_{n}") for n in names])
         left = [F.col(f"`{k}`") if keys else F.lit(1) for k in on]
@@ -124,17 +126,23 @@ def fill_counts(mcds: DataFrame, adata: DataFrame, levels: Sequence[Sequence[str
     table has no usable value at all, 0 is put in at level -1. Every row comes out once; other columns stay; columns
     with an added name are renamed to ``<name>_in``. A null in a key, or a cell without a label, skips to the levels
     without it.
+
+    Values are counted once per group of the finest level and kept in the shared folder; every level's medians come from
+    those counts.
     """
     added = ("mc_filled", "cov_filled", "mc_level", "cov_level")
     df = make_room(mcds, *added)
     order = df.columns
-    df = df.join(cell_groups(adata), F.col("cell") == F.col("__cell"), "left").drop("__cell")
     mc, cov = usable_counts(F.col("mc"), F.col("cov"), most)
     df = df.select("*", mc.alias("__mc"), cov.alias("__cov"))
     fields = [Field("span", F.col("__cov")), Field("share", F.when(F.col("__cov") > 0, F.round(1000 * F.col("__mc") / F.col("__cov")).cast("long")))]
     lacking = F.col("__mc").isNull() | F.col("__cov").isNull()
     whole = df.where(~lacking).select(*[f"`{c}`" for c in order], F.lit(False).alias(added[0]), F.lit(False).alias(added[1]), F.lit(None).cast("int").alias(added[2]), F.lit(None).cast("int").alias(added[3]))
-    cases = back_off(df, df.where(lacking), fields, levels, min_support)
+    df = df.join(cell_groups(adata), F.col("cell") == F.col("__cell"), "left").drop("__cell")
+    keys = list(dict.fromkeys(k for level in levels for k in level))
+    values = df.select(*[f"`{k}`" for k in keys], *[f.valid.alias(f.name) for f in fields]).where("span IS NOT NULL OR share IS NOT NULL")
+    counted = stored(values.groupBy(*[f"`{k}`" for k in keys], "span", "share").agg(F.count("*").alias("times")), "counted")
+    cases = back_off(counted, df.where(lacking), [Field(f.name, F.col(f.name)) for f in fields], levels, min_support, F.col("times"))
     span = F.greatest(F.coalesce(F.col("__cov"), F.bround(F.col("__v_span"), 0).cast("long"), F.lit(0)), F.coalesce(F.col("__mc"), F.lit(0)))
     value = {"cov": span, "mc": F.coalesce(F.col("__mc"), F.bround(F.coalesce(F.col("__v_share"), F.lit(0.0)) * span / 1000, 0).cast("long"))}
     filled = cases.select(
