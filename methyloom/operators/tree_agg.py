@@ -28,14 +28,15 @@ def _result(kind: str, at) -> Column:
     return at({"count": "n", "sum": "s", "min": "lo", "max": "hi"}[kind])
 
 
-def tree_aggregate(df: DataFrame, keys: Sequence[str | Column], aggregates: Mapping[str, tuple[str, str]], fan_in: int = 16, chunk_rows: int = 1 << 16) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: Sequence[str | Column], aggregates: Mapping[str, tuple[str, str]], fan_in: int = 16, chunk_rows: int = 1 << 16, leaves: int = 4096) -> DataFrame:
     """``groupBy(keys).agg(...)`` whose work per key is spread over a tree of merges.
 
     ``aggregates`` maps an output name to (kind, column), kind one of count, sum, min, max, avg, var_pop; the column
-    ``*`` with ``count`` counts rows. Every input chunk of ``chunk_rows`` rows belongs to one leaf. A task combines its
-    own chunks before anything is shuffled; then each round merges ``fan_in`` neighbouring leaves per key, until one
-    state per key is left. So no reducer gets more than about ``fan_in`` states of a key and task, however many rows a
-    key has, and the number of rounds is the logarithm of the number of chunks.
+    ``*`` with ``count`` counts rows. Every input chunk of ``chunk_rows`` rows belongs to one of ``leaves`` leaves. A
+    task combines its own chunks before anything is shuffled, so what moves is one state per key, leaf and task; then
+    each round merges ``fan_in`` neighbouring leaves per key, until one state per key is left: as many rounds as the
+    logarithm of ``leaves``. However many rows a key has, a reducer merges about ``fan_in`` of its states, and in the
+    first round those of the chunks of one leaf.
 
     Nulls: a null key is a key of its own; null values are skipped as in SQL. An empty table gives an empty result.
     Other columns are not read.
@@ -47,9 +48,7 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str | Column], aggregates: Mapp
     inputs = list(dict.fromkeys(c for _, c in aggregates.values() if c != "*"))
     assert not [c for c in inputs if c.lower() not in taken], "unknown column"
     at = "__leaf"
-    chunks = max(1, df.rdd.getNumPartitions())
-    rounds = max(1, math.ceil(math.log(chunks, fan_in)))
-    leaves = fan_in ** (rounds - 1) * fan_in
+    rounds = max(1, math.ceil(math.log(leaves, fan_in) - 1e-9))
     row = F.monotonically_increasing_id()
     # the upper bits of the id are the partition, the lower 33 the row in it
     leaf = F.pmod(F.shiftright(row, 33) + F.shiftright(row.bitwiseAND((1 << 33) - 1), int(math.log2(chunk_rows))), F.lit(leaves))
