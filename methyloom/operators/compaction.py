@@ -17,6 +17,8 @@ ENTRY = "STRUCT<file: STRING, at: BIGINT, size: BIGINT, crc: BIGINT, lines: BIGI
 PACK = f"data BINARY, entries ARRAY<{ENTRY}>"
 _ENTRY = pa.struct([("file", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("crc", pa.int64()), ("lines", pa.int64())])
 _PACK = pa.schema([("data", pa.binary()), ("entries", pa.list_(_ENTRY))])
+#: How a null is written.
+NULL = "\\N"
 #: First bytes of a zstandard frame.
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 
@@ -28,10 +30,11 @@ def files_on_disk(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rows_as_files(df: DataFrame, file: str, columns: Sequence[str]) -> DataFrame:
-    """``file``, ``content``: the rows of each file as tab-separated lines, nulls as empty fields.
+    r"""``file``, ``content``: the rows of each file as tab-separated lines, nulls as ``\N``.
 
     Rows of one file that follow each other in a partition make one piece; a file in several places gives several
-    pieces, which together hold its rows. No shuffle. A null file name is a file of its own.
+    pieces, which together hold its rows. No shuffle. A null file name is a file of its own. A value with a tab or a
+    line break makes :func:`unpack_rows` raise, as its line has another number of fields.
     """
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +43,7 @@ def rows_as_files(df: DataFrame, file: str, columns: Sequence[str]) -> DataFrame
                 continue
             name = b.column(0)
             texts = [c if pa.types.is_string(c.type) else pc.cast(c, pa.string()) for c in b.columns[1:]]
-            lines = pc.binary_join_element_wise(*texts, "\t", null_handling="replace", null_replacement="")
+            lines = pc.binary_join_element_wise(*texts, "\t", null_handling="replace", null_replacement=NULL)
             code = pc.fill_null(name.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
             cut = np.r_[0, np.flatnonzero(code[1:] != code[:-1]) + 1, len(code)].astype(np.int32)
             content = pc.cast(pc.binary_join(pa.ListArray.from_arrays(pa.array(cut), lines), "\n"), pa.binary())
@@ -136,14 +139,13 @@ def verify(data: memoryview, entries: Sequence[dict]) -> None:
 def unpack_rows(packs: DataFrame, names: Sequence[str], keep: Sequence[str], schema: str) -> DataFrame:
     """The lines of the packs as rows again: of the columns ``names`` those in ``keep``, with the types of ``schema``.
 
-    Each pack is held against its lengths, checksums and line counts first; frames are unpacked. Empty fields come
-    back as null.
+    Each pack is held against its lengths, checksums and line counts first; frames are unpacked.
     """
     kinds = {c.name: c.dataType for c in packs.sparkSession.createDataFrame([], schema).schema}
     arrow = {c: pa.string() if k.typeName() == "string" else pa.int64() if k.typeName() == "long" else pa.int32() if k.typeName() == "integer" else pa.float64() for c, k in kinds.items()}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        convert = pa.csv.ConvertOptions(include_columns=list(keep), column_types=arrow, strings_can_be_null=True, null_values=[""], quoted_strings_can_be_null=False)
+        convert = pa.csv.ConvertOptions(include_columns=list(keep), column_types=arrow, strings_can_be_null=True, null_values=[NULL], quoted_strings_can_be_null=False)
         options = {"read_options": pa.csv.ReadOptions(column_names=list(names), use_threads=False, block_size=1 << 22), "parse_options": pa.csv.ParseOptions(delimiter="\t", quote_char=False), "convert_options": convert}
         for b in batches:
             for data, entries in zip(b.column(0), b.column(1).to_pylist()):

@@ -48,7 +48,7 @@ def test_damage_is_found(spark):
 
 def test_rows_round_trip_and_repeats(spark):
     rng = random.Random(5)
-    rows = [(rng.choice("abc"), rng.choice(["chr1", None, "1"]), rng.randrange(30) if rng.random() > 0.1 else None, rng.choice(["f1", "f2", "f3"])) for _ in range(500)]
+    rows = [(rng.choice(["a", "b", "", " c"]), rng.choice(["chr1", None, "1", ""]), rng.randrange(30) if rng.random() > 0.1 else None, rng.choice(["f1", "f2", "f3"])) for _ in range(500)]
     df = spark.createDataFrame(rows, "cell STRING, chrom STRING, pos BIGINT, file_uid STRING").repartition(4)
     names = ["cell", "chrom", "pos", "file_uid"]
     packs = co.join_files(co.rows_as_files(df, "file_uid", names), target_bytes=700)
@@ -65,6 +65,13 @@ def test_rows_round_trip_and_repeats(spark):
     assert latest.where("cell IS NOT NULL AND chrom IS NOT NULL AND pos IS NOT NULL").count() == len(want)
 
 
+def test_a_value_with_a_tab_is_refused(spark):
+    df = spark.createDataFrame([("a\tb", 1, "f")], "cell STRING, pos BIGINT, file_uid STRING")
+    packs = co.join_files(co.rows_as_files(df, "file_uid", ["cell", "pos"]))
+    with pytest.raises(PythonException):
+        co.unpack_rows(packs, ["cell", "pos"], ["cell", "pos"], "cell STRING, pos BIGINT").collect()
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "file STRING, content BINARY")
     assert co.join_files(none).collect() == []
