@@ -1,4 +1,4 @@
-"""Queries of clusterings, trees and doublets. SQL cannot say them; tests hold their parts against known answers."""
+"""Queries of clusterings, trees and doublets. Where SQL cannot say one, tests hold its parts against known answers."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from ..operators import clustering as cl
 from ..operators import doublets as db
 from ..operators import embed as em
 from ..operators import matrix as mx
-from .base import counts, sites
+from .base import SITES, counts, sites
 from .cell_queries import labels, vectors
 
 QUERIES, SQL = {}, {}
@@ -20,6 +20,18 @@ def query(f):
     return f
 
 
+_BLACK = f"""{SITES}, hb AS (SELECT DISTINCT cell, chrom, pos // 100000 AS bin FROM sites WHERE cov > 2 AND cov <= 4), n AS (SELECT chrom, bin, count(*) AS cells FROM hb GROUP BY 1, 2), m AS (SELECT avg(cells) AS m FROM n),
+  pk AS (SELECT cells, 1 - sum(exp(-m + k * ln(m) - lgamma(k + 1))) AS p FROM (SELECT cells, m, unnest(range(0, cells + 1)) AS k FROM (SELECT DISTINCT cells FROM n), m) GROUP BY cells),
+  t AS (SELECT chrom, bin, n.cells, greatest(p, 0) AS p FROM n JOIN pk USING (cells)), r AS (SELECT *, p * (SELECT count(*) FROM t) / rank() OVER (ORDER BY p) AS raw, count(*) OVER (ORDER BY p) AS upto FROM t),
+  s AS (SELECT max(p) AS most FROM r WHERE p * (SELECT count(*) FROM t) / upto < 0.01), black AS (SELECT chrom, bin, cells, p FROM t, s WHERE p < most)"""
+SQL["region_blacklist"] = f"WITH {_BLACK} SELECT chrom, bin, cells, round(p, 9) AS p FROM black"
+SQL["coverage_doublets"] = f"""WITH {_BLACK.replace("// 100000", "// 100")}, b AS (SELECT cell, count(*) AS bins FROM hb ANTI JOIN black USING (chrom, bin) GROUP BY 1), a AS (SELECT cell, count(*) AS total FROM sites GROUP BY 1)
+  SELECT cell, coalesce(bins, 0) AS bins, total, round(coalesce(bins, 0) / total, 8) AS ratio FROM a LEFT JOIN b USING (cell)"""
+SQL["pair_similarity"] = """WITH u AS (SELECT cell, min(lower(trim(groups))) AS label, any_value(X_pca) AS v FROM adata WHERE cell IS NOT NULL AND len(X_pca) = 64 AND len(list_filter(X_pca, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(X_pca, lambda x: x <> 0)) > 0 GROUP BY 1),
+  x AS (SELECT label, unnest(range(0, 64)) AS i, unnest(v)::DOUBLE AS x FROM u WHERE label IS NOT NULL), m AS (SELECT label, i, median(x) AS m FROM x GROUP BY 1, 2),
+  d AS (SELECT a.label AS l, b.label AS r, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM m a JOIN m b USING (i) GROUP BY 1, 2) SELECT l || '-' || r AS left_right, round(1 - d / (SELECT max(d) FROM d), 6) AS similarity FROM d"""
+
+
 @query
 def region_blacklist(spark, sf):
     return db.region_blacklist(sites(spark, sf), 100_000).select("chrom", "bin", "cells", F.round("p", 9).alias("p"))

@@ -195,12 +195,17 @@ def pseudo_cells(spark, sf):
     return out["mean"].withColumn("mean", F.round("mean", 6)).join(out["median"], ["pseudo", "region"]).join(out["sum"], ["pseudo", "region"])
 
 
-@query()
+_TAIL = """, p AS (SELECT cell, mc_type, sum(mc) / (sum(cov) + 1e-6) AS p FROM counts GROUP BY 1, 2),
+  k AS (SELECT cell, region, mc_type, mc, cov, p, unnest(range(mc + 1, cov + 1)) AS k FROM counts JOIN p USING (cell, mc_type) WHERE cov > 0 AND p > 0 AND p < 1),
+  t AS (SELECT cell, region, mc_type, sum(exp(lgamma(cov + 1) - lgamma(k + 1) - lgamma(cov - k + 1) + k * ln(p) + (cov - k) * ln(1 - p))) AS t FROM k GROUP BY ALL),
+  s AS (SELECT c.cell, c.region, c.mc_type, CASE WHEN mc >= cov THEN 0 ELSE coalesce(t, 0) END AS t FROM counts c LEFT JOIN t USING (cell, region, mc_type) WHERE cov > 0)"""
+
+
+@query(f"WITH {COUNTS}{_TAIL} SELECT cell, region, mc_type, round(t, 6) AS score FROM s WHERE t >= 0.9")
 def hypo_scores(spark, sf):
-    """Binomial scores; SQL has no binomial tail, tests hold it against exact sums."""
-    return mx.scores(counts(spark, sf)).withColumn("score", F.round("score", 6))
+    return mx.scores(counts(spark, sf)).select("cell", "region", "mc_type", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH {COUNTS}{_TAIL} SELECT cell, region, mc_type, round(1 - t, 6) AS score FROM s WHERE 1 - t >= 0.9")
 def hyper_scores(spark, sf):
-    return mx.scores(counts(spark, sf), "hyper").withColumn("score", F.round("score", 6))
+    return mx.scores(counts(spark, sf), "hyper").select("cell", "region", "mc_type", F.round("score", 6).alias("score"))

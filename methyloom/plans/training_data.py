@@ -106,6 +106,27 @@ SQL = {
         UNION ALL
         SELECT row_id, 'cov' AS field FROM mcds WHERE cov IS NULL OR cov NOT BETWEEN 0 AND 9999 OR (mc BETWEEN 0 AND 9999 AND mc > cov)
     """,
+    "p1_levels": """
+        WITH g AS (SELECT cell, min(lower(trim(groups))) AS grp FROM adata WHERE cell IS NOT NULL AND lower(trim(groups)) NOT IN ('', 'na', 'nan', 'none', 'unassigned') GROUP BY 1),
+        u AS (SELECT mcds.*, grp, CASE WHEN mc BETWEEN 0 AND 9999 THEN mc END AS m, CASE WHEN cov BETWEEN 0 AND 9999 AND NOT coalesce(mc BETWEEN 0 AND 9999 AND mc > cov, false) THEN cov END AS c FROM mcds LEFT JOIN g USING (cell)),
+        v AS (SELECT *, CASE WHEN c > 0 THEN round(1000 * m / c) END AS s FROM u),
+        l AS (SELECT grp, region, mc_type, strand_type, grouping(grp, region, mc_type, strand_type) AS lv, quantile_cont(c, 0.5) AS qc, count(c) AS nc, quantile_cont(s, 0.5) AS qs, count(s) AS ns FROM v
+          WHERE grp IS NOT NULL AND region IS NOT NULL AND mc_type IS NOT NULL AND strand_type IS NOT NULL GROUP BY GROUPING SETS ((grp, region, mc_type, strand_type), (grp, mc_type, strand_type))
+          UNION ALL SELECT NULL, region, mc_type, strand_type, 8, quantile_cont(c, 0.5), count(c), quantile_cont(s, 0.5), count(s) FROM v WHERE region IS NOT NULL AND mc_type IS NOT NULL AND strand_type IS NOT NULL GROUP BY 2, 3, 4
+          UNION ALL SELECT NULL, NULL, mc_type, strand_type, 12, quantile_cont(c, 0.5), count(c), quantile_cont(s, 0.5), count(s) FROM v WHERE mc_type IS NOT NULL AND strand_type IS NOT NULL GROUP BY 3, 4),
+        t AS (SELECT (SELECT quantile_cont(c, 0.5) FROM v) AS qc, (SELECT quantile_cont(s, 0.5) FROM v) AS qs),
+        f AS (SELECT v.*, coalesce(CASE WHEN a.nc >= 5 THEN 0 END, CASE WHEN b.nc >= 5 THEN 1 END, CASE WHEN d.nc >= 5 THEN 2 END, CASE WHEN e.nc >= 5 THEN 3 END, 4) AS lc,
+            coalesce(CASE WHEN a.ns >= 5 THEN 0 END, CASE WHEN b.ns >= 5 THEN 1 END, CASE WHEN d.ns >= 5 THEN 2 END, CASE WHEN e.ns >= 5 THEN 3 END, 4) AS ls,
+            coalesce(CASE WHEN a.nc >= 5 THEN a.qc END, CASE WHEN b.nc >= 5 THEN b.qc END, CASE WHEN d.nc >= 5 THEN d.qc END, CASE WHEN e.nc >= 5 THEN e.qc END, t.qc) AS fc,
+            coalesce(CASE WHEN a.ns >= 5 THEN a.qs END, CASE WHEN b.ns >= 5 THEN b.qs END, CASE WHEN d.ns >= 5 THEN d.qs END, CASE WHEN e.ns >= 5 THEN e.qs END, t.qs) AS fs
+          FROM v LEFT JOIN l a ON a.lv = 0 AND a.grp = v.grp AND a.region = v.region AND a.mc_type = v.mc_type AND a.strand_type = v.strand_type
+          LEFT JOIN l b ON b.lv = 8 AND b.region = v.region AND b.mc_type = v.mc_type AND b.strand_type = v.strand_type
+          LEFT JOIN l d ON d.lv = 4 AND d.grp = v.grp AND d.mc_type = v.mc_type AND d.strand_type = v.strand_type
+          LEFT JOIN l e ON e.lv = 12 AND e.mc_type = v.mc_type AND e.strand_type = v.strand_type, t),
+        w AS (SELECT *, greatest(coalesce(c, CAST(round_even(fc, 0) AS BIGINT)), coalesce(m, 0)) AS oc FROM f)
+        SELECT mc_type, CASE WHEN m IS NULL THEN ls END AS mc_level, CASE WHEN c IS NULL THEN lc END AS cov_level, count(*) AS n,
+          CAST(sum(coalesce(m, CAST(round_even(fs * oc / 1000, 0) AS BIGINT))) AS BIGINT) AS mc, CAST(sum(oc) AS BIGINT) AS cov FROM w GROUP BY 1, 2, 3
+    """,
     "p3_found": f"""
         WITH r AS (SELECT sample, spelt AS chrom, start, "end" FROM bed JOIN {_SPELL} s ON {_KEY.format('bed.chrom')} = s.ck
                    WHERE start IS NOT NULL AND "end" > start),
