@@ -140,8 +140,8 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
     of the order of the root) are taken by hash. Every vector is written as the list of its ``length`` nearest pivots
     in order, and posted in the lists of its first ``post`` pivots; it is looked for in those of its first ``probe``
     (as many unless told). Within a list of more than ``keep`` vectors they are ranked by the footrule distance of their
-    pivot lists, and the ``keep`` nearest are ranked again by cosine. Results of a row's lists are
-    merged by a bounded ranking.
+    pivot lists, and the ``keep`` nearest are ranked again by cosine. Results of a row's lists are merged by a bounded
+    ranking.
 
     Equal vectors are one class with a representative, so copies, however many, are posted once. Lists of more than
     LIST_ROWS rows are split into blocks, every pair of which meets in a task of its own: no task holds an unbounded
@@ -194,7 +194,7 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
         parts = [search_list(x, perm, a, z, keep, k, least) for a, z in pairs if len(a) and len(z)]
         i, j, s = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, int),) * 3
         rep = t["rep"].combine_chunks()
-        return pa.table({"x": rep.take(pa.array(i)), "y": rep.take(pa.array(j)), "cosine": pa.array(s.astype(np.float64))})
+        return pa.table({"x": rep.take(pa.array(i)), "y": rep.take(pa.array(j)), "cosine": pa.array(np.minimum(s.astype(np.float64), 1.0))})
 
     edges = postings.groupBy("list", "b0", "b1").applyInArrow(search, f"x {kind}, y {kind}, cosine DOUBLE")
     edges = edges.groupBy("x", "y").agg(F.max("cosine").alias("cosine"))
@@ -210,7 +210,7 @@ def _members(vectors: DataFrame, classes: DataFrame, edges: DataFrame, k: int, l
     edges = edges.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("cosine"), "y"))).where(F.col("rank") <= k).drop("rank")
     x_members = members.withColumnRenamed("rep", "x")
     out = edges.join(x_members, "x", "left").select(F.coalesce("id", "x").alias("id"), "y", "cosine")
-    out = out.join(first.withColumnRenamed("rep", "y").withColumnRenamed("id", "mate"), "y", "left").select("id", F.coalesce("mate", "y").alias("other"), "cosine")
+    out = out.join(first.withColumnRenamed("rep", "y").withColumnRenamed("id", "mate"), "y", "left").select("id", F.coalesce("mate", "y").alias("other"), "cosine").where("id <> other")
     if least <= 1:
         mates = members.join(first.withColumnRenamed("id", "mate"), "rep").where("id <> mate").select("id", F.col("mate").alias("other"), F.lit(1.0).alias("cosine"))
         out = out.unionByName(mates)
