@@ -136,12 +136,15 @@ def verify(data: memoryview, entries: Sequence[dict]) -> None:
         raise ValueError("pack has bytes of no file")
 
 
-def unpack_rows(packs: DataFrame, names: Sequence[str], keep: Sequence[str], schema: str) -> DataFrame:
+def unpack_rows(packs: DataFrame, names: Sequence[str], keep: Sequence[str], schema: str, file: str | None = None) -> DataFrame:
     """The lines of the packs as rows again: of the columns ``names`` those in ``keep``, with the types of ``schema``.
+    With ``file`` (a STRING column, the last of ``schema``) each row gets the name of its file, which its entry tells.
 
-    Each pack is held against its lengths, checksums and line counts first; frames are unpacked.
+    Each pack is held against its lengths, checksums and line counts first; frames are unpacked (the files of their
+    rows are not known, as their lines are not counted on joining).
     """
     kinds = {c.name: c.dataType for c in packs.sparkSession.createDataFrame([], schema).schema}
+    kinds.pop(file, None)
     arrow = {c: pa.string() if k.typeName() == "string" else pa.int64() if k.typeName() == "long" else pa.int32() if k.typeName() == "integer" else pa.float64() for c, k in kinds.items()}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +160,18 @@ def unpack_rows(packs: DataFrame, names: Sequence[str], keep: Sequence[str], sch
                     import zstandard
 
                     buffer = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(buffer.to_pybytes()), read_across_frames=True).read()
+                told = np.array([e["lines"] for e in entries])
+                owner = np.repeat(np.arange(len(told), dtype=np.int32), np.maximum(told, 0))
+                files = pa.array([e["file"] for e in entries], pa.string())
                 rows = 0
                 for t in pa.csv.open_csv(pa.BufferReader(buffer), **options):
+                    got = t.select(list(keep))
+                    if file is not None:
+                        own = files.take(pa.array(owner[rows : rows + t.num_rows])) if (told >= 0).all() else pa.nulls(t.num_rows, pa.string())
+                        got = pa.RecordBatch.from_arrays([*got.columns, own], names=[*got.schema.names, file])
                     rows += t.num_rows
-                    yield t.select(list(keep))
-                told = [e["lines"] for e in entries]
-                if -1 not in told and rows != sum(told):
+                    yield got
+                if (told >= 0).all() and rows != told.sum():
                     raise ValueError("pack has another number of lines than its files")
 
     return packs.mapInArrow(parse, schema)

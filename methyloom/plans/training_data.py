@@ -15,7 +15,7 @@ from ..operators.tree_agg import heavy_keys, tree_aggregate
 from ..schema import label_key, spell_chrom
 from ..session import shared_dir
 
-ALLC_COLUMNS = ("cell", "chrom", "pos", "strand", "context", "mc", "cov", "p", "file_uid")
+ALLC_COLUMNS = ("cell", "chrom", "pos", "strand", "context", "mc", "cov", "p")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_packs(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of ``allc`` as tiny files, joined into packs in the shared folder."""
-    files = rows_as_files(table(spark, sf, "allc").select(*ALLC_COLUMNS), "file_uid", ALLC_COLUMNS)
+    files = rows_as_files(table(spark, sf, "allc"), "file_uid", ALLC_COLUMNS)
     return write_packs(join_files(files), os.path.join(shared_dir(spark), f"packs-{uuid.uuid4().hex}"))
 
 
@@ -61,7 +61,7 @@ def p4_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def p4_records(spark: SparkSession, sf: str) -> DataFrame:
     """Every record once, of several deliveries the last one written."""
     kinds = "cell STRING, chrom STRING, pos BIGINT, mc BIGINT, cov BIGINT, file_uid STRING"
-    rows = unpack_rows(p4_packs(spark, sf), ALLC_COLUMNS, ("cell", "chrom", "pos", "mc", "cov", "file_uid"), kinds)
+    rows = unpack_rows(p4_packs(spark, sf), ALLC_COLUMNS, ("cell", "chrom", "pos", "mc", "cov"), kinds, "file_uid")
     rows = spell_chrom(rows, table(spark, sf, "chrom_sizes")).where("cell IS NOT NULL AND pos IS NOT NULL")
     rows = rows.join(table(spark, sf, "allc_table").select("file_uid", "written_at"), "file_uid", "left")
     newest = [F.col("written_at").isNotNull(), F.col("written_at"), F.col("file_uid"), F.coalesce("cov", F.lit(-1)), F.coalesce("mc", F.lit(-1))]

@@ -55,6 +55,9 @@ def test_rows_round_trip_and_repeats(spark):
     assert packs.count() > 4
     back = co.unpack_rows(packs, names, names, "cell STRING, chrom STRING, pos BIGINT, file_uid STRING")
     assert sorted(map(str, (tuple(r) for r in back.collect()))) == sorted(map(str, rows))
+    short = co.join_files(co.rows_as_files(df, "file_uid", names[:3]), target_bytes=700)
+    named = co.unpack_rows(short, names[:3], names[:3], "cell STRING, chrom STRING, pos BIGINT, file_uid STRING", "file_uid")
+    assert sorted(map(str, (tuple(r) for r in named.collect()))) == sorted(map(str, rows))
     want = {}
     for c, ch, p, _ in rows:
         if None not in (c, ch, p):
