@@ -31,7 +31,8 @@ def make_room(df: DataFrame, *names: str) -> DataFrame:
 
 def chrom_key(chrom: Column) -> Column:
     """What spellings of one chromosome share: no blanks around, lower case, no ``chr`` prefix."""
-    return F.regexp_replace(F.lower(F.trim(chrom)), "^chr", "")
+    low = F.lower(F.trim(chrom))
+    return F.when(F.startswith(low, F.lit("chr")), F.substring(low, 4, 1 << 30)).otherwise(low)
 
 
 def spell_chrom(df: DataFrame, chrom_sizes: DataFrame, column: str = "chrom") -> DataFrame:
