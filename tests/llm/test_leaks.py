@@ -64,3 +64,13 @@ def test_suffix_array():
     assert lk.suffix_array(t[:0], 5).tolist() == []
     w, b = lk.word_codes(pa.array(["A b", None, "", "a B ab"]))
     assert b.tolist() == [0, 2, 2, 2, 5] and w[0] == w[2] and w[1] == w[3] and len(set(w.tolist())) == 3
+
+
+def test_very_long_text(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    item = [f"q{i}" for i in range(30)]
+    words[140_000:140_000] = item[5:25]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "x" * 300_000)], "doc_id BIGINT, text STRING")
+    ev = spark.createDataFrame([("e", " ".join(item))], "item_id STRING, text STRING")
+    assert [tuple(r) for r in lk.leaked_passages(df, ev, shard_words=1000).collect()] == [(1, "e", 20, 140_000)]
