@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -61,18 +62,24 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable on the executors, once per application (a zip of its sources, sent by Spark)."""
+    """Makes this package importable on the executors, once per application: a zip of its sources in the shared folder,
+    handed out by Spark."""
     context = spark.sparkContext
-    if getattr(context, "_methyloom_shipped", False):
-        return
     root = os.path.dirname(os.path.abspath(__file__))
-    if not root.endswith(".zip") and os.path.isdir(root):
-        target = os.path.join(tempfile.mkdtemp(prefix="methyloom-src-"), "methyloom_src.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for folder, _, files in os.walk(root):
-                for name in files:
-                    if name.endswith(".py"):
-                        path = os.path.join(folder, name)
-                        z.write(path, os.path.relpath(path, os.path.dirname(root)))
-        context.addPyFile(target)
+    if getattr(context, "_methyloom_shipped", False) or not os.path.isdir(root):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    target = os.path.join(shared_dir(spark), f"sources-{uuid.uuid4().hex}", "methyloom_src.zip")
+    jvm = context._jvm
+    place = jvm.org.apache.hadoop.fs.Path(target)
+    out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(place.toString() if "://" in target or target.startswith("file:") else target)
     context._methyloom_shipped = True

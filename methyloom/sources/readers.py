@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import ALLC, ALLC_SNP, BED3, BED4, BEDGRAPH, CHROM_SIZES, FAIDX, GTF
+from ..schema import ALLC, ALLC_SNP, BED3, BED4, BEDGRAPH, FAIDX, GTF
 
 
 def parse_paths(paths: str | Sequence[str], check: bool = True) -> list[str]:
