@@ -70,12 +70,13 @@ def footrule_gain(query: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
     With positions 0..L-1, and L for a pivot not in the list, the footrule of two lists is L(L+1) minus twice the sum
     over common pivots of min(L - position in one, L - position in the other). ``query`` has the lists of the queries,
-    ``weight`` one row per pivot with L - position of each vector (0 where the vector doesn't list the pivot).
+    ``weight`` one row per pivot with L - position of each vector (0 where the vector doesn't list the pivot). The sum
+    reaches L(L+1)/2, so the integers are as wide as that needs.
     """
     length = query.shape[1]
-    total = np.zeros((len(query), weight.shape[1]), np.uint8)
+    total = np.zeros((len(query), weight.shape[1]), np.min_scalar_type(length * (length + 1) // 2))
     for place in range(length):
-        total += np.minimum(weight[query[:, place]], np.uint8(length - place))
+        total += np.minimum(weight[query[:, place]], weight.dtype.type(length - place))
     return total
 
 
@@ -85,8 +86,8 @@ def search_list(x: np.ndarray, perm: np.ndarray, left: np.ndarray, right: np.nda
     used, local = np.unique(perm, return_inverse=True)
     local = local.reshape(perm.shape)
     length = perm.shape[1]
-    weight = np.zeros((len(used), len(right)), np.uint8)
-    weight[local[right].ravel(), np.repeat(np.arange(len(right)), length)] = np.tile(np.arange(length, 0, -1, dtype=np.uint8), len(right))
+    weight = np.zeros((len(used), len(right)), np.min_scalar_type(length))
+    weight[local[right].ravel(), np.repeat(np.arange(len(right)), length)] = np.tile(np.arange(length, 0, -1, dtype=weight.dtype), len(right))
     at = np.full(len(x), -1)
     at[right] = np.arange(len(right))
     rows, others, sims = [], [], []

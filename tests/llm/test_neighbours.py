@@ -79,3 +79,18 @@ def test_footrule_gain_is_the_footrule():
             a, b = ({p: k for k, p in enumerate(perm[t])} for t in (i, j))
             foot = sum(abs(a.get(p, 5) - b.get(p, 5)) for p in set(a) | set(b))
             assert foot == 5 * 6 - 2 * int(gain[i, j])
+
+
+@pytest.mark.parametrize("length", [48, 300])
+def test_long_pivot_lists_do_not_wrap(length):
+    x = nb.unit(data(500, dim=32))
+    pivots = x[np.random.default_rng(1).permutation(len(x))[: length + 20]]
+    perm = nb.permutations(x, pivots, length)
+    rank = np.zeros((len(x), len(pivots)), int)
+    np.put_along_axis(rank, perm.astype(int), np.arange(length, 0, -1)[None], 1)
+    gain = np.minimum(rank[:, None], rank[None]).sum(2)
+    np.fill_diagonal(gain, 0)
+    rows, others, _ = nb.search_list(x, perm, np.arange(40), np.arange(len(x)), 50, 50, -1.0)
+    for i in range(40):
+        mine, rest = gain[i, others[rows == i]], np.delete(gain[i], others[rows == i])
+        assert len(mine) == 50 and mine.min() >= rest.max()
