@@ -47,3 +47,18 @@ def test_likelihood_grows():
             s = mx.sufficient(model, z)
             assert s[0] >= last - 1e-3 * abs(s[0])
             last, model = s[0], mx.updated(s, 3, 6, len(z), 1e-3, model.tied)
+
+
+def test_more_labels_than_any_list_of_numbers(spark):
+    x, own = blobs(5, sizes=(30,) * 40)
+    wrong = {(f"c{i:04d}", f"l{c}") for i, c in enumerate(own) if i % 30 == 9}
+    rows = [(f"c{i:04d}", [float(a) for a in v], f"l{(c + 1) % 40}" if i % 30 == 9 else f"l{c}", 1) for i, (v, c) in enumerate(zip(x, own))]
+    members = mx.mixture_members(spark.createDataFrame(rows, SCHEMA).repartition(3), "cell", "x", 20, F.col("label"))
+    assert {tuple(r) for r in mx.doubtful_labels(members).collect()} == wrong
+    assert {r.label for r in mx.cluster_labels(members).collect()} == {f"l{c}" for c in range(40)}
+
+
+def test_best_count_has_no_upper_end():
+    for want in (1, 2, 3, 13, 19, 22, 100, 777):
+        assert mx.best_count(lambda ks: [abs(k - want) for k in ks], 10_000) == want
+    assert mx.best_count(lambda ks: [-k for k in ks], 50) == 50 and mx.best_count(lambda ks: [-k for k in ks], 1) == 1
