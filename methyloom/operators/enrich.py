@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bh_within, fisher_exact, normal_tail
+from ..session import cut
 
 
 def rank_sums(values: DataFrame, by: Sequence[str], label: str = "inside", value: str = "value") -> DataFrame:
@@ -224,16 +225,23 @@ def correlation_cutoff(real: DataFrame, null: DataFrame, direction: str = "-", a
     return grid.where((F.col("bad") == 0) & (F.col("n") > 0)).orderBy("k").limit(1).select((F.col("k") / 100).alias("cutoff"), "fdr", "n")
 
 
-def greedy_panel(votes: DataFrame, min_support: int = 2, rounds: int = 1000) -> list[str]:
-    """Genes chosen one by one, each the one that helps most open pairs (ties by name), until every pair that can has
-    ``min_support`` chosen genes. ``votes``: pair, gene. One aggregate per chosen gene; the panel itself is small."""
+def greedy_panel(votes: DataFrame, min_support: int = 2) -> list[str]:
+    """Genes so that every pair has ``min_support`` chosen ones, or all its genes if it has no more. ``votes``: pair,
+    gene. Genes of the pairs that need all theirs come first, as every panel holds them; then each time the gene that
+    helps most open pairs (ties by name). A pass chooses every gene that comes before all others of each open pair it is
+    in: what helps less, or shares no open pair, can't change its turn. Passes end when no pair is open. Only the panel
+    comes to the driver."""
     chosen: list[str] = []
-    votes = votes.select("pair", "gene").distinct().cache()
-    for _ in range(rounds):
-        done = votes.where(F.col("gene").isin(chosen)).groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
-        best = votes.where(~F.col("gene").isin(chosen)).join(done, "pair", "left_anti").groupBy("gene").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gene").limit(1).collect()
-        if not best:
-            break
-        chosen.append(best[0].gene)
-    votes.unpersist()
-    return chosen
+    open_ = cut(votes.where("pair IS NOT NULL AND gene IS NOT NULL").select("pair", "gene", F.lit(min_support).alias("need")).distinct())
+    few = open_.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") <= min_support).select("pair")
+    picked = cut(open_.join(few, "pair", "left_semi").groupBy("gene").agg(F.count("*").alias("n")))
+    while True:
+        chosen += [r.gene for r in picked.orderBy(F.desc("n"), "gene").collect()]
+        hits = open_.join(picked.select("gene"), "gene", "left_semi").groupBy("pair").agg(F.count("*").cast("int").alias("hits"))
+        left = open_.join(hits, "pair", "left").withColumn("need", F.col("need") - F.coalesce("hits", F.lit(0))).where("need > 0")
+        open_ = cut(left.join(picked.select("gene"), "gene", "left_anti").select("pair", "gene", "need"))
+        if open_.isEmpty():
+            return chosen
+        helps = open_.groupBy("gene").agg(F.count("*").alias("n"))
+        first = open_.join(helps, "gene").groupBy("pair").agg(F.min(F.struct((-F.col("n")).alias("n"), "gene")).alias("f")).groupBy("f").agg(F.count("*").alias("pairs"))
+        picked = cut(first.where("pairs = -f.n").select("f.gene", F.col("pairs").alias("n")))

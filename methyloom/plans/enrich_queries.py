@@ -186,7 +186,7 @@ def regress_out(spark, sf):
 
 @query()
 def gene_panel(spark, sf):
-    """Greedy set cover, one aggregate per chosen gene."""
-    d = table(spark, sf, "dmg_table").where("names IS NOT NULL AND left_right IS NOT NULL AND hypo_in = 'c0'")
-    genes = en.greedy_panel(d.select(F.col("left_right").alias("pair"), F.col("names").alias("gene")), 1)
-    return spark.createDataFrame([(i, g) for i, g in enumerate(genes)], "round INT, gene STRING")
+    """Greedy cover of all pairs, many genes a pass."""
+    d = table(spark, sf, "dmg_table").where("names IS NOT NULL AND left_right IS NOT NULL")
+    genes = en.greedy_panel(d.select(F.col("left_right").alias("pair"), F.col("names").alias("gene")))
+    return spark.createDataFrame(list(enumerate(genes)), "round INT, gene STRING")
