@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -10,31 +11,63 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_path
+
 ENTRY = "STRUCT<file: STRING, at: BIGINT, size: BIGINT, crc: BIGINT, lines: BIGINT>"
 PACK = f"data BINARY, entries ARRAY<{ENTRY}>"
 _ENTRY = pa.struct([("file", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("crc", pa.int64()), ("lines", pa.int64())])
 _PACK = pa.schema([("data", pa.binary()), ("entries", pa.list_(_ENTRY))])
-#: How a null is written.
+#: How a null is written; a text never is, because its backslashes are doubled.
 NULL = "\\N"
+# How the characters are written that would end a field or a line.
+ESCAPES = {"\\": "\\\\", "\t": "\\t", "\n": "\\n", "\r": "\\r"}
+_UNESCAPE = {written: plain for plain, written in ESCAPES.items()}
+#: A zstandard frame that readers skip, 8 bytes of ASCII: what stands between packs of frames in an exported file.
+SKIPPED_FRAME = "\x50\x2a\x4d\x18\0\0\0\0"
 #: First bytes of a zstandard frame.
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 
 
-def files_on_disk(spark: SparkSession, path: str) -> DataFrame:
+def files_on_disk(spark: SparkSession, path: str, partition_bytes: int = 128 << 20) -> DataFrame:
     """``file``, ``content`` of the files that ``path`` (a folder or a glob) names. Spark lists no files of length 0; they
-    have no bytes to lose."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    have no bytes to lose.
+
+    Spark reckons 4 MB for opening a file, so that a partition would hold some thirty tiny ones. Here it reckons what a
+    name costs, in a session of its own whose settings nothing else sees: a partition holds ``partition_bytes`` of files.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.openCostInBytes", "1024")
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(partition_bytes))
+    return own.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+
+
+def _escaped(texts: pa.Array) -> pa.Array:
+    """Texts without a tab or line break, each backslash doubled."""
+    if not pc.any(pc.match_substring_regex(texts, r"[\\\t\n\r]")).as_py():
+        return texts
+    for plain, written in ESCAPES.items():
+        texts = pc.replace_substring(texts, plain, written)
+    return texts
+
+
+def _unescaped(texts: pa.Array) -> pa.Array:
+    if not pc.any(pc.match_substring(texts, "\\")).as_py():
+        return texts
+    coded = texts.dictionary_encode()
+    words = [re.sub(r"\\[\\tnr]", lambda m: _UNESCAPE[m.group()], w) for w in coded.dictionary.to_pylist()]
+    return pa.array(words, texts.type).take(coded.indices)
 
 
 def rows_as_files(df: DataFrame, file: str, columns: Sequence[str]) -> DataFrame:
-    r"""``file``, ``content``: the rows of each file as tab-separated lines, nulls as ``\N``.
+    r"""``file``, ``content``: the rows of each file as tab-separated lines, nulls as ``\N``; in texts a backslash, tab or
+    line break is written as ``\\``, ``\t``, ``\n`` or ``\r``, so every text comes back, also one that reads ``\N``.
 
     Rows of one file that follow each other in a partition make one piece; a file in several places gives several
-    pieces, which together hold its rows. No shuffle. A null file name is a file of its own. A value with a tab or a
-    line break makes :func:`unpack_rows` raise, as its line has another number of fields.
+    pieces, which together hold its rows. No shuffle. A null file name is a file of its own.
     """
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,11 +75,13 @@ def rows_as_files(df: DataFrame, file: str, columns: Sequence[str]) -> DataFrame
             if not b.num_rows:
                 continue
             name = b.column(0)
-            texts = [c if pa.types.is_string(c.type) else pc.cast(c, pa.string()) for c in b.columns[1:]]
+            texts = [_escaped(c) if pa.types.is_string(c.type) else pc.cast(c, pa.string()) for c in b.columns[1:]]
             lines = pc.binary_join_element_wise(*texts, "\t", null_handling="replace", null_replacement=NULL)
             code = pc.fill_null(name.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
             cut = np.r_[0, np.flatnonzero(code[1:] != code[:-1]) + 1, len(code)].astype(np.int32)
             content = pc.cast(pc.binary_join(pa.ListArray.from_arrays(pa.array(cut), lines), "\n"), pa.binary())
+            if len(b.columns) == 2:  # a line of one empty text has no bytes, so its line end is written here
+                content = pc.cast(pc.binary_join_element_wise(content, pa.scalar(b"\n"), pa.scalar(b"")), pa.binary())
             yield pa.RecordBatch.from_arrays([name.take(pa.array(cut[:-1])), content], names=["file", "content"])
 
     return df.select(F.col(f"`{file}`"), *[F.col(f"`{c}`") for c in columns]).mapInArrow(render, "file STRING, content BINARY")
@@ -56,26 +91,15 @@ def _frame_lines(data: bytes) -> int:
     return -1 if data[:4] == ZSTD_MAGIC else data.count(b"\n")
 
 
-def join_files(files: DataFrame, kind: str = "lines", header: bytes | None = None, target_bytes: int = 16 << 20) -> DataFrame:
-    """Packs of about ``target_bytes`` that hold the bytes of the files one after the other: ``data``, ``entries``.
-
-    ``files`` has ``file``, ``content``. With ``kind`` lines, contents are newline-delimited text: a missing last
-    newline is put in, and ``header``, where a file begins with it, is taken off. With ``kind`` zstd, contents are
-    complete zstandard frames and are joined as they are (a row of frames is a valid stream). Nothing is parsed or
-    unpacked. ``entries`` tells of each file its name, place, length, CRC-32 and number of lines (-1 for frames). Null
-    and empty contents, or contents that are only a header, have an entry of length 0. A content that is not a frame
-    raises with kind zstd.
-
-    Packs are filled partition by partition, so the work is one pass without a shuffle; a task holds one pack.
-    """
-    if kind not in ("lines", "zstd"):
-        raise ValueError(f"unknown kind: {kind}")
+def _joined(files: DataFrame, kind: str, header: bytes | None, target_bytes: int) -> DataFrame:
+    """Packs of each partition's files, and ``part``: the partition, or null for packs that are large enough."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, entries, size = [], [], 0
+        data, entries, size, part = [], [], 0, TaskContext.get().partitionId()
 
         def pack() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"data": [b"".join(data)], "entries": [entries]}, schema=_PACK)
+            row = {"part": [None if size >= target_bytes // 4 else part], "data": [b"".join(data)], "entries": [entries]}
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), *_PACK]))
 
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -96,18 +120,87 @@ def join_files(files: DataFrame, kind: str = "lines", header: bytes | None = Non
         if entries:
             yield pack()
 
-    return files.select("file", "content").mapInArrow(join, PACK)
+    return files.select("file", "content").mapInArrow(join, f"part INT, {PACK}")
 
 
-def write_packs(packs: DataFrame, path: str) -> DataFrame:
-    """Packs written to ``path`` (Parquet, zstandard pages) and read again; Spark's commit keeps each pack once."""
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of one group, which follow each other, as one."""
+    group, data, entries, size = None, [], [], 0
+
+    def pack() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"data": [b"".join(data)], "entries": [entries]}, schema=_PACK)
+
+    for b in batches:
+        for g, content, told in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if g != group and entries:
+                yield pack()
+                data, entries, size = [], [], 0
+            group = g
+            entries += [{**e, "at": e["at"] + size} for e in told]
+            data.append(content)
+            size += len(content)
+    if entries:
+        yield pack()
+
+
+def join_files(files: DataFrame, kind: str = "lines", header: bytes | None = None, target_bytes: int = 16 << 20, path: str | None = None) -> DataFrame:
+    """Packs of at most ``target_bytes`` that hold the bytes of the files one after the other: ``data``, ``entries``.
+
+    ``files`` has ``file``, ``content``. With ``kind`` lines, contents are newline-delimited text: a missing last
+    newline is put in, and ``header``, where a file begins with it, is taken off. With ``kind`` zstd, contents are
+    complete zstandard frames and are joined as they are (a row of frames is a valid stream). Nothing is parsed,
+    decoded or unpacked. ``entries`` tells of each file its name, place, length, CRC-32 and number of lines (-1 for
+    frames). Null and empty contents, or contents that are only a header, have an entry of length 0. A content that is
+    not a frame raises with kind zstd. Only a file longer than ``target_bytes`` makes a larger pack, of its own.
+
+    First every task joins the files of its partition; these packs are stored under ``path`` (a folder that does not
+    exist yet, else one in the shared folder). A partition's last pack may be small. Small packs, under a quarter of the
+    target, are then joined across partitions: the driver gets their sizes (one number per partition), deals them out by
+    their running sum, and only their bytes are shuffled. So all packs but one hold a quarter of the target or more:
+    there are at most 1 + 4 * bytes / target, however many files and partitions there were.
+    """
+    if kind not in ("lines", "zstd"):
+        raise ValueError(f"unknown kind: {kind}")
+    path = path or new_path(files.sparkSession, "packs")
+    first = _write(_joined(files, kind, header, target_bytes), path + "/joined")
+    small = first.where("part IS NOT NULL")
+    sizes = sorted((r.part, r.n) for r in small.select("part", F.length("data").alias("n")).collect())
+    large = first.where("part IS NULL").select("data", "entries")
+    if len(sizes) < 2:
+        return first.select("data", "entries")
+    group, run, dealt = 0, 0, []
+    for part, n in sizes:
+        if run and run + n > target_bytes:
+            group, run = group + 1, 0
+        dealt.append((part, group))
+        run += n
+    table = files.sparkSession.createDataFrame(dealt, "part INT, pack INT")
+    meet = small.join(table, "part").select("pack", "data", "entries", "part")
+    merged = meet.repartition(min(group + 1, 1 << 14), "pack").sortWithinPartitions("pack", "part").drop("part").mapInArrow(_merge, PACK)
+    return large.unionByName(_write(merged, path + "/merged"))
+
+
+def _write(packs: DataFrame, path: str) -> DataFrame:
     packs.write.option("compression", "zstd").parquet(path)
     return packs.sparkSession.read.schema(packs.schema).parquet(path)
 
 
-def export_packs(packs: DataFrame, path: str) -> None:
-    """Packs of text as plain text files under ``path``, one line of the sources per line."""
-    packs.where(F.length("data") > 0).select(F.expr("decode(substring(data, 1, length(data) - 1), 'UTF-8')").alias("value")).write.text(path)
+def write_packs(packs: DataFrame, path: str) -> DataFrame:
+    """Packs written to ``path`` (Parquet, zstandard pages) and read again; Spark's commit keeps each pack once."""
+    return _write(packs, path)
+
+
+def export_packs(packs: DataFrame, path: str, kind: str = "lines", file_bytes: int = 128 << 20) -> None:
+    """The packs' bytes as files of about ``file_bytes`` under ``path``, byte for byte: nothing is decoded.
+
+    A file holds several packs. Packs of lines end with a newline, so their files are the packs in a row; behind each
+    pack of frames stands an empty frame that zstandard readers skip. Empty packs are left out.
+    """
+    total = packs.agg(F.sum(F.length("data")).alias("n")).first().n or 0
+    size = F.length("data")
+    raw = (F.expr("substring(data, 1, length(data) - 1)") if kind == "lines" else F.col("data")).cast("string").alias("value")
+    few = packs.where(size > 0).select(raw).coalesce(max(1, -(-total // file_bytes)))
+    few.write.option("lineSep", "\n" if kind == "lines" else SKIPPED_FRAME).text(path)
 
 
 def check_packs(packs: DataFrame) -> DataFrame:
@@ -149,7 +242,7 @@ def unpack_rows(packs: DataFrame, names: Sequence[str], keep: Sequence[str], sch
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = pa.csv.ConvertOptions(include_columns=list(keep), column_types=arrow, strings_can_be_null=True, null_values=[NULL], quoted_strings_can_be_null=False)
-        options = {"read_options": pa.csv.ReadOptions(column_names=list(names), use_threads=False, block_size=1 << 22), "parse_options": pa.csv.ParseOptions(delimiter="\t", quote_char=False), "convert_options": convert}
+        options = {"read_options": pa.csv.ReadOptions(column_names=list(names), use_threads=False, block_size=1 << 22), "parse_options": pa.csv.ParseOptions(delimiter="\t", quote_char=False, ignore_empty_lines=False), "convert_options": convert}
         for b in batches:
             for data, entries in zip(b.column(0), b.column(1).to_pylist()):
                 buffer = data.as_buffer()
@@ -166,6 +259,7 @@ def unpack_rows(packs: DataFrame, names: Sequence[str], keep: Sequence[str], sch
                 rows = 0
                 for t in pa.csv.open_csv(pa.BufferReader(buffer), **options):
                     got = t.select(list(keep))
+                    got = pa.RecordBatch.from_arrays([_unescaped(c) if pa.types.is_string(c.type) else c for c in got.columns], names=got.schema.names)
                     if file is not None:
                         own = files.take(pa.array(owner[rows : rows + t.num_rows])) if (told >= 0).all() else pa.nulls(t.num_rows, pa.string())
                         got = pa.RecordBatch.from_arrays([*got.columns, own], names=[*got.schema.names, file])
@@ -177,16 +271,14 @@ def unpack_rows(packs: DataFrame, names: Sequence[str], keep: Sequence[str], sch
     return packs.mapInArrow(parse, schema)
 
 
-def repeated_records(rows: DataFrame, key: Sequence[str], near: str, width: int = 1 << 24) -> DataFrame:
+def repeated_records(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """``key`` and ``copies`` of the records that more than one row holds; rows with a null in ``key`` are left out.
 
-    ``near`` is the numeric part of the key in which neighbouring rows are close. Rows are placed by the other parts
-    and ``near`` in steps of ``width``, so that a hot key is spread by its positions.
+    Counted in every task first; a record's rows meet by its whole key, so no value of a part of it is a hot one.
     """
-    rest = [k for k in key if k != near]
     for k in key:
         rows = rows.where(F.col(f"`{k}`").isNotNull())
-    return rows.withColumn("__place", F.floor(F.col(f"`{near}`") / width)).groupBy(*[f"`{k}`" for k in rest], "__place", f"`{near}`").agg(F.count("*").alias("copies")).where("copies > 1").select(*[f"`{k}`" for k in key], "copies")
+    return rows.groupBy(*[f"`{k}`" for k in key]).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
 def latest_records(rows: DataFrame, key: Sequence[str], newest: Sequence[Column]) -> DataFrame:

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.compaction import join_files, latest_records, repeated_records, rows_as_files, unpack_rows, write_packs
+from ..operators.compaction import join_files, latest_records, repeated_records, rows_as_files, unpack_rows
 from ..operators.fill import fill_counts
 from ..operators.intervals import periods_and_gaps
 from ..operators.tree_agg import heavy_keys, tree_aggregate
 from ..schema import label_key, spell_chrom
-from ..session import shared_dir
 
 ALLC_COLUMNS = ("cell", "chrom", "pos", "strand", "context", "mc", "cov", "p")
 
@@ -43,13 +39,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_packs(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of ``allc`` as tiny files, joined into packs in the shared folder."""
-    files = rows_as_files(table(spark, sf, "allc"), "file_uid", ALLC_COLUMNS)
-    return write_packs(join_files(files), os.path.join(shared_dir(spark), f"packs-{uuid.uuid4().hex}"))
+    return join_files(rows_as_files(table(spark, sf, "allc"), "file_uid", ALLC_COLUMNS))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = unpack_rows(p4_packs(spark, sf), ALLC_COLUMNS, ("cell", "chrom", "pos"), "cell STRING, chrom STRING, pos BIGINT")
-    return repeated_records(spell_chrom(rows, table(spark, sf, "chrom_sizes")), ("cell", "chrom", "pos"), "pos").select("cell", "chrom", "pos")
+    return repeated_records(spell_chrom(rows, table(spark, sf, "chrom_sizes")), ("cell", "chrom", "pos")).select("cell", "chrom", "pos")
 
 
 def p4_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,6 +53,14 @@ def p4_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return entries.groupBy(F.col("file").alias("file_uid")).agg(F.sum("lines").alias("n"))
 
 
+def p4_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and lines of all packs, and whether the packs are few and well-sized: at most 16 MiB each, and all but one a
+    quarter of it or more."""
+    packs = p4_packs(spark, sf).select(F.length("data").cast("long").alias("size"), F.expr("aggregate(entries, 0L, (s, e) -> s + e.lines)").alias("lines"))
+    sizes = packs.agg(F.sum("size").alias("bytes"), F.sum("lines").alias("lines"), F.count("*").alias("packs"), F.max("size").alias("largest"), F.count_if(F.col("size") < (4 << 20)).alias("small"))
+    return sizes.select("bytes", "lines", ((F.col("largest") <= (16 << 20)) & (F.col("small") <= 1)).alias("well_sized"), (F.col("packs") <= 1 + F.col("bytes") / (4 << 20)).alias("few"))
+
+
 def p4_records(spark: SparkSession, sf: str) -> DataFrame:
     """Every record once, of several deliveries the last one written."""
     kinds = "cell STRING, chrom STRING, pos BIGINT, mc BIGINT, cov BIGINT, file_uid STRING"
@@ -79,7 +82,7 @@ def spell_all(df: DataFrame, chrom_sizes: DataFrame) -> DataFrame:
     """As :func:`spell_chrom`, but rows that name no chromosome stay, with a null."""
     from ..schema import chrom_key
 
-    names = chrom_sizes.select(F.col("chrom").alias("__spelt"), chrom_key(F.col("chrom")).alias("__chrom_key")).dropDuplicates(["__chrom_key"])
+    names = chrom_sizes.groupBy(chrom_key(F.col("chrom")).alias("__chrom_key")).agg(F.min("chrom").alias("__spelt"))
     return df.withColumn("__chrom_key", chrom_key(F.col("chrom"))).join(names, "__chrom_key", "left").drop("__chrom_key", "chrom").withColumnRenamed("__spelt", "chrom")
 
 
@@ -95,7 +98,7 @@ def p7_chroms(spark: SparkSession, sf: str) -> DataFrame:
     return tree_aggregate(bed, ["chrom"], {"n": ("count", "*"), "spans": ("count", "span"), "bases": ("sum", "span"), "longest": ("max", "span")})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_levels, p3_found, p4_found, p4_manifest, p4_records, p7_found, p7_groups, p7_chroms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_levels, p3_found, p4_found, p4_manifest, p4_sizes, p4_records, p7_found, p7_groups, p7_chroms)}
 
 _KEY = "regexp_replace(lower(trim({})), '^chr', '')"
 _SPELL = f"(SELECT {_KEY.format('chrom')} AS ck, min(chrom) AS spelt FROM chrom_sizes GROUP BY 1)"
@@ -142,6 +145,11 @@ SQL = {
         WHERE cell IS NOT NULL AND pos IS NOT NULL GROUP BY ALL HAVING count(*) > 1
     """,
     "p4_manifest": "SELECT file_uid, count(*) AS n FROM allc GROUP BY file_uid",
+    "p4_sizes": """
+        SELECT CAST(sum(n) AS BIGINT) AS bytes, count(*) AS lines, true AS well_sized, true AS few FROM (
+          SELECT 8 + strlen(coalesce(cell, '\\N')) + strlen(coalesce(chrom, '\\N')) + strlen(coalesce(pos::VARCHAR, '\\N')) + strlen(coalesce(strand, '\\N'))
+            + strlen(coalesce(context, '\\N')) + strlen(coalesce(mc::VARCHAR, '\\N')) + strlen(coalesce(cov::VARCHAR, '\\N')) + strlen(coalesce(p::VARCHAR, '\\N')) AS n FROM allc)
+    """,
     "p4_records": f"""
         SELECT cell, chrom, pos, mc, cov FROM (
           SELECT cell, spelt AS chrom, pos, mc, cov, row_number() OVER (PARTITION BY cell, spelt, pos

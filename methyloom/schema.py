@@ -40,7 +40,7 @@ def spell_chrom(df: DataFrame, chrom_sizes: DataFrame, column: str = "chrom") ->
 
     ``chrom_sizes`` is joined without a hint: Spark broadcasts it while its size is under the session's threshold.
     """
-    names = chrom_sizes.select(F.col("chrom").alias("__spelt"), chrom_key(F.col("chrom")).alias("__chrom_key")).where("__spelt IS NOT NULL").dropDuplicates(["__chrom_key"])
+    names = chrom_sizes.where(F.col("chrom").isNotNull()).groupBy(chrom_key(F.col("chrom")).alias("__chrom_key")).agg(F.min("chrom").alias("__spelt"))
     order = df.columns
     return df.withColumn("__chrom_key", chrom_key(F.col(f"`{column}`"))).join(names, "__chrom_key").drop("__chrom_key", column).withColumnRenamed("__spelt", column).select(*[f"`{c}`" for c in order])
 

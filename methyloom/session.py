@@ -49,14 +49,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, kept partition by partition in the shared folder."""
-    shared_dir(df.sparkSession)
+    _own_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing uses yet, in this application's part of the shared folder."""
+    return os.path.join(_own_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared folder. It and the folder of the application's checkpoints are deleted
+    when the driver ends."""
+    context = spark.sparkContext
+    own = getattr(context, "_methyloom_dir", None)
+    if own is None:
+        own = os.path.join(shared_dir(spark), f"methyloom-{context.applicationId}")
+        for folder in (own, context.getCheckpointDir()):
+            place = context._jvm.org.apache.hadoop.fs.Path(folder)
+            system = place.getFileSystem(context._jsc.hadoopConfiguration())
+            system.mkdirs(place)
+            system.deleteOnExit(place)
+        context._methyloom_dir = own
+    return own
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = new_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,7 +96,7 @@ def ship_package(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    target = os.path.join(shared_dir(spark), f"sources-{uuid.uuid4().hex}", "methyloom_src.zip")
+    target = os.path.join(new_path(spark, "sources"), "methyloom_src.zip")
     jvm = context._jvm
     place = jvm.org.apache.hadoop.fs.Path(target)
     out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
