@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 # IUPAC nucleotide codes.
 IUPAC = {
     "A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "GC", "W": "AT", "K": "GT", "M": "AC",
-    "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ATCG",
+    "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ATCGN",
 }
 
 
 def expand_pattern(pattern: str) -> list[str]:
-    """The concrete contexts of an IUPAC pattern. Contexts written with N belong to every pattern they could match
-    literally, so the pattern itself is one of its contexts."""
+    """The concrete contexts of an IUPAC pattern, sorted. N stands for any base and for one that is not known, so CAN
+    belongs to CHN and CNN does not; CH, which also names the two-letter class itself, is one of its own contexts."""
     pattern = pattern.upper()
     unknown = [c for c in pattern if c not in IUPAC]
     if unknown:
         raise ValueError(f"not an IUPAC code: {unknown[0]}")
-    return sorted({pattern, *("".join(p) for p in itertools.product(*[IUPAC[c] for c in pattern]))})
+    found = {"".join(p) for p in itertools.product(*[IUPAC[c] for c in pattern])}
+    return sorted(found | {"CH"} if pattern == "CH" else found)
 
 
 def pattern_table(spark: SparkSession, patterns: list[str]) -> DataFrame:

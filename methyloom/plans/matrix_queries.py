@@ -43,8 +43,8 @@ def generate_mcds_stranded(spark, sf):
 
 
 _RC = f"""rc AS (SELECT s.cell, r.region, t.mc_type, CAST(sum(mc) AS BIGINT) AS mc, CAST(sum(cov) AS BIGINT) AS cov FROM sites s JOIN regions r ON s.chrom = r.chrom AND s.pos > r.start AND s.pos <= r."end"
-  JOIN (SELECT 'CGN' AS mc_type, unnest(['CGA','CGC','CGG','CGT','CGN']) AS context UNION ALL
-        SELECT 'CHN', unnest(['CAA','CAC','CAG','CAT','CCA','CCC','CCG','CCT','CTA','CTC','CTG','CTT','CHN'])) t ON t.context = s.context GROUP BY 1, 2, 3)"""
+  JOIN (SELECT 'CGN' AS mc_type, unnest({CGN.replace("(", "[").replace(")", "]")}) AS context UNION ALL
+        SELECT 'CHN', unnest({CHN.replace("(", "[").replace(")", "]")})) t ON t.context = s.context GROUP BY 1, 2, 3)"""
 
 
 def region_counts(spark, sf):

@@ -11,7 +11,7 @@ from ..operators import sites as so
 from .base import REGIONS, SITES, SPELL, chrom_sizes, regions, sites, table
 
 CGN = "('CGA','CGC','CGG','CGT','CGN')"
-CHN = "('CAA','CAC','CAG','CAT','CCA','CCC','CCG','CCT','CTA','CTC','CTG','CTT','CHN')"
+CHN = "('CAA','CAC','CAG','CAT','CAN','CCA','CCC','CCG','CCT','CCN','CTA','CTC','CTG','CTT','CTN')"
 QUERIES, SQL = {}, {}
 
 
@@ -146,14 +146,17 @@ def reverse_complement(spark, sf):
     return d.select("doc_id", sq.reverse_complement(F.upper("text")).alias("rc"))
 
 
-@query(f"""WITH {SITES} SELECT context, regexp_matches(context, '^C[ACT][ATCG]$') AS ch, regexp_matches(context, '^[AT]C[GC]$') AS wcs FROM (SELECT DISTINCT context FROM sites)""")
+@query(f"""WITH {SITES} SELECT context, regexp_matches(context, '^C[ACT][ATCGN]$') AS ch, regexp_matches(context, '^[AT]C[GC]$') AS wcs FROM (SELECT DISTINCT context FROM sites)""")
 def iupac_match(spark, sf):
     return sites(spark, sf).select("context").distinct().select("context", F.col("context").rlike(sq.pattern_regex("CHN")).alias("ch"), F.col("context").rlike(sq.pattern_regex("WCS")).alias("wcs"))
 
 
-@query("""SELECT p AS pattern, c AS context FROM (VALUES ('CGN','CGA'),('CGN','CGC'),('CGN','CGG'),('CGN','CGT'),('CGN','CGN'),('CY','CC'),('CY','CT'),('CY','CY')) t(p, c)""")
+@query("""WITH code(c, b) AS (VALUES ('A','A'),('C','C'),('G','G'),('T','T'),('R','AG'),('Y','CT'),('S','GC'),('W','AT'),('K','GT'),('M','AC'),('B','CGT'),('D','AGT'),('H','ATC'),('V','ACG'),('N','ATCGN')),
+  base AS (SELECT c, unnest(string_split(b, '')) AS b FROM code), p(pattern) AS (VALUES ('CGN'),('CY'),('CHN'),('CNN'),('CH'),('HCHN'))
+  SELECT pattern, x.b || y.b || coalesce(z.b, '') || coalesce(u.b, '') AS context FROM p JOIN base x ON x.c = pattern[1] JOIN base y ON y.c = pattern[2]
+    LEFT JOIN base z ON z.c = pattern[3] LEFT JOIN base u ON u.c = pattern[4] UNION ALL SELECT 'CH', 'CH'""")
 def parse_mc_pattern(spark, sf):
-    return sq.pattern_table(spark, ["CGN", "CY"])
+    return sq.pattern_table(spark, ["CGN", "CY", "CHN", "CNN", "CH", "HCHN"])
 
 
 @query("""SELECT size, CASE WHEN size >= 1000000 AND size % 1000000 = 0 THEN (size // 1000000) || 'm' WHEN size > 1000 AND size % 1000 = 0 THEN (size // 1000) || 'k'

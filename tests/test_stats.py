@@ -66,6 +66,9 @@ def test_ranks_and_quantiles(spark):
 
 
 def test_sequences(spark):
-    assert sq.expand_pattern("CG") == ["CG"] and len(sq.expand_pattern("CHN")) == 13
+    assert sq.expand_pattern("CG") == ["CG"] and len(sq.expand_pattern("CHN")) == 15
+    assert "CAN" in sq.expand_pattern("CHN") and "ACAN" in sq.expand_pattern("HCHN")
+    assert "CNN" not in sq.expand_pattern("CHN") and "CHN" not in sq.expand_pattern("CHN")
+    assert sq.expand_pattern("ch") == ["CA", "CC", "CH", "CT"] and len(sq.expand_pattern("CNN")) == 25
     r = spark.createDataFrame([("AcgTN", "HC"), ("", None)], "s STRING, c STRING").select(sq.reverse_complement(F.col("s")).alias("r"), F.size(sq.kmers(F.col("s"), 3)).alias("k")).collect()
     assert [tuple(x) for x in r] == [("NAcgT", 3), ("", 0)]
