@@ -94,33 +94,70 @@ def poisson_tail(k: Column, mean: Column) -> Column:
     return tail(k.cast("double"), mean.cast("double"))
 
 
+def erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function of numbers of 0 or more: its series near 0, its continued fraction from 2 on, so that
+    far tails keep their digits."""
+    x = np.asarray(x, np.float64)
+    near, far = np.minimum(x, 2.0), np.maximum(x, 2.0)
+    term, total = near.copy(), near.copy()
+    for n in range(1, 48):
+        term = -term * near * near / n
+        total = total + term / (2 * n + 1)
+    tail = far
+    for k in range(80, 0, -1):
+        tail = far + k / 2 / tail
+    return np.where(x < 2, 1 - 2 / math.sqrt(math.pi) * total, np.exp(-far * far) / math.sqrt(math.pi) / tail)
+
+
 def normal_tail(z: Column) -> Column:
     """P(X > z) for X standard normal."""
 
     @F.arrow_udf("double")
     def tail(z: pa.Array) -> pa.Array:
         null, (v,) = _columns(z)
-        return pa.array(np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in v]), mask=null)
+        half = 0.5 * erfc(np.abs(v) / math.sqrt(2))
+        return pa.array(np.where(v < 0, 1 - half, half), mask=null)
 
     return tail(z.cast("double"))
 
 
+#: Tables of Fisher's test whose terms are worked on together.
+_TERMS = 1 << 21
+
+
+def fisher_p(w: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Two-sided p-values of the tables ((w, x), (y, z)), all terms of many tables at once; equal tables once."""
+    tables, back = np.unique(np.stack([w, x, y, z], 1).astype(np.int64), axis=0, return_inverse=True)
+    w, x, y, z = tables.T
+    n, row, col = w + x + y + z, w + x, w + y
+    low = np.maximum(0, row + col - n)
+    size = np.minimum(row, col) - low + 1
+    out = np.ones(len(tables))
+    ends = np.cumsum(size)
+    first = 0
+    while first < len(tables):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _TERMS, side="right")))
+        at = slice(first, last)
+        begin = np.r_[0, np.cumsum(size[at])[:-1]]
+        own = np.repeat(np.arange(last - first), size[at])
+        k = np.arange(len(own)) - begin[own] + low[at][own]
+        r, c, m = row[at][own], col[at][own], n[at][own]
+        logs = -(log_gamma(k + 1.0) + log_gamma(r - k + 1.0) + log_gamma(c - k + 1.0) + log_gamma(m - r - c + k + 1.0))
+        p = np.exp(logs - np.maximum.reduceat(logs, begin)[own])
+        p /= np.add.reduceat(p, begin)[own]
+        seen = p[begin + w[at] - low[at]]
+        out[at] = np.minimum(1.0, np.add.reduceat(np.where(p <= seen[own] * (1 + 1e-7), p, 0.0), begin))
+        first = last
+    return out[back.ravel()]
+
+
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided p-value of Fisher's exact test of the table ((a, b), (c, d))."""
+    """Two-sided p-value of Fisher's exact test of the table ((a, b), (c, d)); null where a count is."""
 
     @F.arrow_udf("double")
     def test(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
         null, cols = _columns(a, b, c, d)
-        out = np.ones(len(null))
-        for i, (w, x, y, z) in enumerate(zip(*(v.astype(np.int64) for v in cols))):
-            n, row, col = w + x + y + z, w + x, w + y
-            k = np.arange(max(0, row + col - n), min(row, col) + 1)
-            logs = -(log_gamma(k + 1.0) + log_gamma(row - k + 1.0) + log_gamma(col - k + 1.0) + log_gamma(n - row - col + k + 1.0))
-            p = np.exp(logs - logs.max())
-            p /= p.sum()
-            own = p[w - k[0]]
-            out[i] = min(1.0, p[p <= own * (1 + 1e-7)].sum())
-        return pa.array(out, mask=null)
+        return pa.array(fisher_p(*cols) if len(null) else np.zeros(0), mask=null)
 
     return test(*(x.cast("double") for x in (a, b, c, d)))
 
@@ -134,61 +171,57 @@ def bh_within(p: Column, by: Sequence[Column]) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "q") -> DataFrame:
-    """``df`` with the Benjamini-Hochberg q-value of ``p`` over all its rows; null where ``p`` is null.
+    """``df`` with the Benjamini-Hochberg q-value of ``p`` over all its rows; null where ``p`` is null or not a number.
 
-    A global range sort by p, kept in the shared folder; the driver gets one row per partition (size and smallest
-    p * n / rank), from which each partition's rank offset and the minimum of all later ones follow; one more scan
-    gives the q-values. No window over all rows.
+    A global range sort by falling p, kept in the shared folder; equal p-values, often most of them, are spread over
+    partitions by a hash. The driver gets one row per partition (size and smallest p * n / rank), from which follow each
+    partition's ranks and the minimum over all larger p; one more scan carries that minimum on, batch by batch.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = cut(df.where(F.col(p).isNotNull()).repartitionByRange(parts, p).sortWithinPartitions(p))
-    pid = F.spark_partition_id()
-    sizes = {r.p: (r.n, r.hi) for r in held.groupBy(pid.alias("p")).agg(F.count("*").alias("n"), F.max(p).alias("hi")).collect()}
-    total, before = sum(n for n, _ in sizes.values()), {}
-    at = 0
-    for k in sorted(sizes):
-        before[k] = at
-        at += sizes[k][0]
-    # within a partition p / rank is not monotone, so its minimum needs a scan; one number per partition comes back
-    col = held.columns.index(p)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = F.col(f"`{p}`").cast("double")
+    rows = df.withColumns({"__p": F.when(~F.isnan(value), value), "__tie": F.xxhash64(F.monotonically_increasing_id())})
+    order = [F.col("__p").desc_nulls_last(), F.col("__tie")]
+    held = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("__tie"))
+    counts = sorted((r.p, r.n) for r in held.groupBy(F.spark_partition_id().alias("p")).agg(F.count("__p").alias("n")).collect())
+    total, ranks = sum(n for _, n in counts), {}
+    at = total
+    for k, n in counts:
+        ranks[k] = at
+        at -= n
+
+    def raws(values: pa.Array, rank: int) -> np.ndarray:
+        """p * n / rank of a batch's numbers, which come before its nulls."""
+        v = values.drop_null().to_numpy(zero_copy_only=False)
+        return v * total / (rank - np.arange(len(v)))
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, low, rank = TaskContext.get().partitionId(), np.inf, before.get(TaskContext.get().partitionId(), 0)
+        part, low = TaskContext.get().partitionId(), np.inf
+        rank = ranks.get(part, 0)
         for b in batches:
-            if b.num_rows:
-                v = b.column(col).to_numpy(zero_copy_only=False)
-                low = min(low, float((v * total / (rank + 1 + np.arange(len(v)))).min()))
-                rank += len(v)
+            raw = raws(b.column(0), rank)
+            low, rank = min(low, float(raw.min(initial=np.inf))), rank - len(raw)
         if np.isfinite(low):
             yield pa.RecordBatch.from_pydict({"p": pa.array([part], pa.int32()), "low": [low]})
 
-    lows = {r.p: r.low for r in held.mapInArrow(least, "p INT, low DOUBLE").collect()}
-    later, run = {}, 1.0
-    for k in sorted(lows, reverse=True):
-        later[k] = run
-        run = min(run, lows[k])
+    entering, run = {}, 1.0
+    for part, low in sorted((r.p, r.low) for r in held.select("__p").mapInArrow(least, "p INT, low DOUBLE").collect()):
+        entering[part] = run
+        run = min(run, low)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    col = held.columns.index("__p")
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        held_back = list(batches)
-        rank, raws = before.get(part, 0), []
-        for b in held_back:
-            v = b.column(col).to_numpy(zero_copy_only=False)
-            raws.append(v * total / (rank + 1 + np.arange(len(v))))
-            rank += len(v)
-        run = later.get(part, 1.0)
-        done = []
-        for b, raw in zip(reversed(held_back), reversed(raws)):
-            q = np.minimum.accumulate(np.r_[run, raw[::-1]])[1:][::-1] if len(raw) else raw
-            run = q[0] if len(q) else run
-            done.append(pa.RecordBatch.from_arrays([*b.columns, pa.array(q)], names=[*b.schema.names, out]))
-        yield from reversed(done)
-
-    schema = StructType([*held.schema.fields, StructField(out, DoubleType())])
-    tested = held.mapInArrow(scan, schema)
-    return tested.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+        rank, run = ranks.get(part, 0), entering.get(part, 1.0)
+        for b in batches:
+            raw = raws(b.column(col), rank)
+            q = np.minimum.accumulate(np.r_[run, raw])
+            rank, run = rank - len(raw), q[-1]
+            q = pa.array(np.r_[q[1:], np.zeros(b.num_rows - len(raw))], mask=np.arange(b.num_rows) >= len(raw))
+            yield pa.RecordBatch.from_arrays([*b.columns[:col], *b.columns[col + 1 :], q], names=[*b.schema.names[:col], *b.schema.names[col + 1 :], out])
+
+    return held.mapInArrow(scan, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
 def m_value(frac: Column, alpha: float = 0.01) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import benjamini_hochberg, poisson_tail
+from .ranking import global_rank
 
 
 def _high(sites: DataFrame, resolution: int, cov_cutoff: int) -> DataFrame:
@@ -41,12 +42,9 @@ def coverage_doublets(sites: DataFrame, resolution: int = 100, cov_cutoff: int =
 
 def simulate_doublets(counts: DataFrame, ratio: float = 2.0, seed: int = 0) -> DataFrame:
     """cell (``sim_`` names), region, mc_type, mc, cov: sums of random pairs of cells, ``ratio`` times as many as cells.
-    Partners are drawn by seeded ranks; ranks come from a sort of cell names, not of counts."""
-    from pyspark.sql import Window
-
-    cells = counts.select("cell").distinct()
-    n = cells.count()
-    ranked = cells.withColumn("k", F.row_number().over(Window.orderBy("cell")) - 1)
+    Partners are drawn by seeded ranks; ranks come from a global range sort of cell names, not of counts."""
+    ranked = global_rank(counts.select("cell").distinct(), None, [F.col("cell")], "k").select("cell", "k")
+    n = ranked.count()
     sims = counts.sparkSession.range(int(n * ratio)).select("id", F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(part), "id"), F.lit(n)) for part in (1, 2)])).alias("k"))
     picked = sims.join(ranked, "k").select("id", "cell")
     return counts.join(picked, "cell").groupBy(F.concat(F.lit("sim_"), F.col("id").cast("string")).alias("cell"), "region", "mc_type").agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))

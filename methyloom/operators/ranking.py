@@ -35,7 +35,9 @@ def global_rank(df: DataFrame, by: str | None, order: Sequence[Column], out: str
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: str | None = None) -> DataFrame:
     """``by`` and ``q0``, ``q1``, ...: quantiles of the non-null values with linear interpolation between neighbours."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    ranked = global_rank(rows.select(*([by] if by else []), F.col(value).cast("double").alias("__v")), by, [F.col("__v")])
+    # equal values are spread over partitions by a hash
+    tied = rows.select(*([by] if by else []), F.col(value).cast("double").alias("__v"), F.xxhash64(F.monotonically_increasing_id()).alias("__t"))
+    ranked = global_rank(tied, by, [F.col("__v"), F.col("__t")])
     on = [by] if by else []
     total = ranked.groupBy(*on).agg(F.count("*").alias("__n"))
     joined = ranked.join(total, by) if by else ranked.crossJoin(total)

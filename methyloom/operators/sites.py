@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import pattern_table
+from ..functions.sequence import matches, pattern_table
 from ..functions.stats import binary_counts
 
 
@@ -26,6 +26,13 @@ def select_contexts(sites: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return sites.join(pattern_table(sites.sparkSession, list(patterns)), "context")
 
 
+def codebook(sites: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """chrom, pos, context and one BOOLEAN column per pattern: every position once, with the patterns that its context
+    belongs to."""
+    once = sites.groupBy("chrom", "pos").agg(F.min("context").alias("context"))
+    return once.select("*", *[matches(F.col("context"), p).alias(p) for p in patterns])
+
+
 def extract_contexts(sites: DataFrame, patterns: Sequence[str], strandness: str = "both", cov_cutoff: int = 9999, binarize: bool = False, keys: Sequence[str] = ("cell",)) -> DataFrame:
     """The rows of each pattern with cov up to ``cov_cutoff``. ``strandness``: ``both`` keeps strands, ``split`` adds
     ``strand_type``, ``merge`` adds up the two strands of CpG sites at the position of the forward one."""

@@ -28,12 +28,21 @@ def _result(kind: str, at) -> Column:
     return at({"count": "n", "sum": "s", "min": "lo", "max": "hi"}[kind])
 
 
-def tree_aggregate(df: DataFrame, keys: Sequence[str | Column], aggregates: Mapping[str, tuple[str, str]], fan_in: int = 16, chunk_rows: int = 1 << 16, leaves: int = 4096) -> DataFrame:
+def leaves_for(df: DataFrame, fan_in: int) -> int:
+    """A power of ``fan_in`` of leaves for the planner's estimate of the largest table that ``df`` reads; nothing is run
+    for it."""
+    tables = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = max(int(tables.apply(i).stats().sizeInBytes()) for i in range(tables.size()))
+    return fan_in ** min(6, max(1, math.ceil(math.log(max(size / (1 << 16), 2), fan_in))))
+
+
+def tree_aggregate(df: DataFrame, keys: Sequence[str | Column], aggregates: Mapping[str, tuple[str, str]], fan_in: int = 16, chunk_rows: int = 1 << 16, leaves: int | None = None) -> DataFrame:
     """``groupBy(keys).agg(...)`` whose work per key is spread over a tree of merges.
 
     ``aggregates`` maps an output name to (kind, column), kind one of count, sum, min, max, avg, var_pop; the column
-    ``*`` with ``count`` counts rows. Every input chunk of ``chunk_rows`` rows belongs to one of ``leaves`` leaves. A
-    task combines its own chunks before anything is shuffled, so what moves is one state per key, leaf and task; then
+    ``*`` with ``count`` counts rows. Every input chunk of ``chunk_rows`` rows belongs to one of ``leaves`` leaves, as
+    many as the planner's estimate of the input's size gives chunks (one a 64 KiB, as columns are packed), so that a leaf
+    has few chunks however large the input is. A task combines its own chunks before anything is shuffled, so what moves is one state per key, leaf and task; then
     each round merges ``fan_in`` neighbouring leaves per key, until one state per key is left: as many rounds as the
     logarithm of ``leaves``. However many rows a key has, a reducer merges about ``fan_in`` of its states, and in the
     first round those of the chunks of one leaf.
@@ -48,6 +57,7 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str | Column], aggregates: Mapp
     inputs = list(dict.fromkeys(c for _, c in aggregates.values() if c != "*"))
     assert not [c for c in inputs if c.lower() not in taken], "unknown column"
     at = "__leaf"
+    leaves = leaves or leaves_for(df, fan_in)
     rounds = max(1, math.ceil(math.log(leaves, fan_in) - 1e-9))
     row = F.monotonically_increasing_id()
     # the upper bits of the id are the partition, the lower 33 the row in it

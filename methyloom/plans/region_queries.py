@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import diff as df_
 from ..operators import rangejoin as rj
-from .base import CLUSTERS, COUNTS, REGIONS, SITES, SPELL, chrom_sizes, clusters, counts, regions, sites
+from ..operators import sites as so
+from ..schema import few_values
+from .base import CLUSTERS, REGIONS, SITES, SPELL, chrom_sizes, clusters, regions, sites, table
+from .site_queries import CGN
 
 QUERIES, SQL = {}, {}
-BLACK = 0.2
 
 
 def query(sql: str | None = None):
@@ -22,30 +24,36 @@ def query(sql: str | None = None):
     return add
 
 
-_AB = f"""WITH {SPELL}, {REGIONS}, a AS (SELECT * FROM regions WHERE ends_with(region, '7')), b AS (SELECT * FROM regions WHERE ends_with(region, '3'))"""
+_R = f"WITH {SPELL}, {REGIONS}"
 
 
-def ab(spark, sf):
-    r = regions(spark, sf)
-    return r.where("region LIKE '%7'"), r.where("region LIKE '%3'")
+def places(spark, sf):
+    return regions(spark, sf).select("region", "chrom", "start", "end")
 
 
-@query(f"""{_AB} SELECT a.region AS region_a, b.region AS region_b, least(a."end", b."end") - greatest(a.start, b.start) AS overlap FROM a JOIN b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" """)
+@query(f"""{_R} SELECT a.region AS region_a, b.region AS region_b, least(a."end", b."end") - greatest(a.start, b.start) AS overlap
+  FROM regions a JOIN regions b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" AND a.region < b.region""")
 def region_overlaps(spark, sf):
-    a, b = ab(spark, sf)
-    return rj.overlaps(a.select("region", "chrom", "start", "end"), b.select("region", "chrom", "start", "end"), "region", "region").select("region_a", "region_b", "overlap")
+    """All regions against all."""
+    r = places(spark, sf)
+    return rj.overlaps(r, r, "region", "region").where("region_a < region_b").select("region_a", "region_b", "overlap")
 
 
-@query(f"""{_AB} SELECT DISTINCT a.region, b.sample AS track FROM a JOIN b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" AND least(a."end", b."end") - greatest(a.start, b.start) >= 0.2 * (a."end" - a.start)""")
+@query(f"""{_R} SELECT DISTINCT a.region, b.sample AS track FROM regions a JOIN regions b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end"
+  AND least(a."end", b."end") - greatest(a.start, b.start) >= 0.2 * (a."end" - a.start)""")
 def annotate_by_beds(spark, sf):
-    a, b = ab(spark, sf)
-    return rj.annotate_by_beds(a.select("region", "chrom", "start", "end"), b.select(F.col("sample").alias("track"), "chrom", "start", "end"))
+    """Every region by every sample's regions as a track."""
+    r = regions(spark, sf)
+    return rj.annotate_by_beds(places(spark, sf), r.select(F.col("sample").alias("track"), "chrom", "start", "end"))
 
 
-@query(f"""{_AB} SELECT a.region FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" AND least(a."end", b."end") - greatest(a.start, b.start) >= 0.2 * (a."end" - a.start))""")
+@query(f"""{_R}, b AS (SELECT * FROM regions WHERE sample = (SELECT min(sample) FROM bed)) SELECT region FROM regions a WHERE sample IS DISTINCT FROM (SELECT min(sample) FROM bed)
+  AND NOT EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" AND least(a."end", b."end") - greatest(a.start, b.start) >= 0.2 * (a."end" - a.start))""")
 def remove_black_list(spark, sf):
-    a, b = ab(spark, sf)
-    return rj.without_blacklist(a.select("region", "chrom", "start", "end"), b.select("chrom", "start", "end")).select("region")
+    """The regions of the first sample are the blacklist of all others."""
+    r = regions(spark, sf)
+    first = F.col("sample").eqNullSafe(F.lit(table(spark, sf, "bed").agg(F.min("sample")).first()[0]))
+    return rj.without_blacklist(r.where(~first).select("region", "chrom", "start", "end"), r.where(first).select("chrom", "start", "end")).select("region")
 
 
 @query(f"""WITH {SITES}, {REGIONS}, t AS (SELECT chrom, pos - 1 AS start, pos + 99 AS "end", sum(cov) AS value FROM sites GROUP BY 1, 2, 3)
@@ -78,10 +86,10 @@ def genome_bin_ids(spark, sf):
     return rj.genome_bin_ids(chrom_sizes(spark, sf), 100_000)
 
 
-@query(f"""{_AB} SELECT a.region AS region_a, b.region AS region_b, b.start - a.start AS dist FROM a JOIN b ON a.chrom = b.chrom AND abs(a.start - b.start) < 50000""")
+@query(f"""{_R} SELECT a.region AS region_a, b.region AS region_b, b.start - a.start AS dist FROM regions a JOIN regions b ON a.chrom = b.chrom AND abs(a.start - b.start) < 50000 AND a.region < b.region""")
 def near_pairs(spark, sf):
-    a, b = (x.select(F.col("region").alias(f"region_{n}"), "chrom", F.col("start").alias("pos")) for x, n in zip(ab(spark, sf), "ab"))
-    return rj.near_pairs(a, b, "region_a", "region_b", 50_000)
+    a, b = (regions(spark, sf).select(F.col("region").alias(f"region_{n}"), "chrom", F.col("start").alias("pos")) for n in "ab")
+    return rj.near_pairs(a, b, "region_a", "region_b", 50_000).where("region_a < region_b")
 
 
 @query(f"""WITH {SPELL}, {REGIONS}, m AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM regions),
@@ -96,15 +104,14 @@ def region_rollup(spark, sf):
     return regions(spark, sf).groupingSets([["chrom"], ["sample"]], "chrom", "sample").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
-_DS = f"""{COUNTS}, {CLUSTERS}, ds AS (SELECT split_part(region, '_', 1) AS chrom, CAST(split_part(region, '_', 2) AS BIGINT) * 100000 + 1 AS pos, cluster AS sample, CAST(sum(mc) AS BIGINT) AS mc, CAST(sum(cov) AS BIGINT) AS cov
-  FROM counts JOIN clusters USING (cell) WHERE mc_type = 'CGN' GROUP BY 1, 2, 3)"""
+_DS = f"""{SITES}, {CLUSTERS}, ds AS (SELECT chrom, CASE WHEN strand = '-' THEN pos - 1 ELSE pos END AS pos, cluster AS sample, CAST(sum(mc) AS BIGINT) AS mc, CAST(sum(cov) AS BIGINT) AS cov
+  FROM sites JOIN clusters USING (cell) WHERE context IN {CGN} GROUP BY 1, 2, 3)"""
 
 
 def samples(spark, sf):
-    """Pseudo-bulk samples: the bins of the CGN matrix as sites, clusters as samples."""
-    c = counts(spark, sf).where("mc_type = 'CGN'").join(clusters(spark, sf), "cell")
-    at = F.split("region", "_")
-    return c.groupBy(at[0].alias("chrom"), (at[1].cast("long") * 100_000 + 1).alias("pos"), F.col("cluster").alias("sample")).agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))
+    """Pseudo-bulk samples: the CpG sites of the base-level table, strands added up, clusters as samples."""
+    s = so.merge_strands(so.select_contexts(sites(spark, sf), ["CGN"]).join(clusters(spark, sf), "cell"), ["cluster"])
+    return s.select("chrom", "pos", F.col("cluster").alias("sample"), "mc", "cov")
 
 
 @query(f"""WITH {_DS}, t AS (SELECT *, sum(mc) OVER w AS c, sum(cov) OVER w AS a FROM ds WINDOW w AS (PARTITION BY chrom, pos)), e AS (SELECT *, cov * c / nullif(a, 0) AS e FROM t)
@@ -130,19 +137,22 @@ def downsample_table(spark, sf):
 
 
 def sample_names(spark, sf):
-    """Few: one per cluster label."""
-    return [r.cluster for r in clusters(spark, sf).select("cluster").distinct().orderBy("cluster").limit(1000).collect()]
+    return few_values(clusters(spark, sf), "cluster")
 
 
 @query()
 def call_dms(spark, sf):
-    """Permutation p-values; SQL cannot draw them, tests hold them against calibration."""
+    """Permutation p-values; SQL cannot draw them, tests hold them against a brute-force version."""
     d = df_.call_dms(samples(spark, sf), sample_names(spark, sf), n_permute=1000, p_cutoff=0.05)
-    return d.select("chrom", "pos", "p_value", F.round("q_value", 9).alias("q_value"))
+    return d.select("chrom", "pos", F.round("p_value", 9).alias("p_value"), F.round("q_value", 9).alias("q_value"))
 
 
-def all_dms(spark, sf):
-    return df_.call_dms(samples(spark, sf), sample_names(spark, sf), n_permute=1, p_cutoff=None).withColumn("p_value", F.lit(0.0))
+@query()
+def call_dmr_significant(spark, sf):
+    """Regions of the sites that pass the test; what follows the test is held by ``call_dmr``, the test by tests."""
+    names = sample_names(spark, sf)
+    d = df_.call_dmr(df_.call_dms(samples(spark, sf), names, n_permute=1000, p_cutoff=None), names, p_cutoff=0.05)
+    return d.select("dmr", "start", "end", "ndms", "sample", "mc", "cov", "state")
 
 
 _DMR = f"""{_DS}, names AS (SELECT DISTINCT cluster AS sample FROM clusters), full_ AS (SELECT chrom, pos, sample, coalesce(mc, 0) AS mc, coalesce(cov, 0) AS cov FROM (SELECT DISTINCT chrom, pos FROM ds) CROSS JOIN names LEFT JOIN ds USING (chrom, pos, sample)),
@@ -152,7 +162,7 @@ _DMR = f"""{_DS}, names AS (SELECT DISTINCT cluster AS sample FROM clusters), fu
   u AS (SELECT *, list_transform(frac, lambda x: coalesce(x, 1.0)) AS f1 FROM p WHERE delta >= 0.2),
   l AS (SELECT *, lag(pos) OVER w AS pp, lag(f1) OVER w AS pf FROM u WINDOW w AS (PARTITION BY chrom ORDER BY pos)),
   c AS (SELECT chrom, pos, pp, any_value(d) AS d, corr(x, y) AS corr FROM (SELECT chrom, pos, pp, pos - pp AS d, unnest(f1) AS x, unnest(pf) AS y FROM l WHERE pp IS NOT NULL) GROUP BY 1, 2, 3),
-  k AS (SELECT l.chrom, l.pos, CASE WHEN l.pp IS NULL OR c.d >= 3000000 OR c.corr IS NULL OR isnan(c.corr) OR NOT (c.corr > 0.1) THEN 1 ELSE 0 END AS new FROM l LEFT JOIN c USING (chrom, pos)),
+  k AS (SELECT l.chrom, l.pos, CASE WHEN l.pp IS NULL OR c.d >= 250 OR c.corr IS NULL OR isnan(c.corr) OR NOT (c.corr > 0.3) THEN 1 ELSE 0 END AS new FROM l LEFT JOIN c USING (chrom, pos)),
   i AS (SELECT chrom, pos, sum(new) OVER (PARTITION BY chrom ORDER BY pos) - 1 AS island FROM k)"""
 
 
@@ -162,7 +172,9 @@ _DMR = f"""{_DS}, names AS (SELECT DISTINCT cluster AS sample FROM clusters), fu
   SELECT chrom || '-' || CAST(island AS BIGINT) AS dmr, min(pos) - 1 AS start, max(pos) + 1 AS "end", count(*) AS ndms, sample, CAST(sum(mc) AS BIGINT) AS mc, CAST(sum(cov) AS BIGINT) AS cov,
     CAST(CASE WHEN abs(avg(st)) >= 0.8 THEN sign(avg(st)) ELSE 0 END AS TINYINT) AS state FROM s GROUP BY chrom, island, sample""")
 def call_dmr(spark, sf):
-    d = df_.call_dmr(all_dms(spark, sf), sample_names(spark, sf), max_dist=3_000_000, corr_cutoff=0.1)
+    """With every tested site let in, since SQL has no p-values; all other settings are the operator's own."""
+    names = sample_names(spark, sf)
+    d = df_.call_dmr(df_.call_dms(samples(spark, sf), names, n_permute=200, p_cutoff=None), names, p_cutoff=1.0)
     return d.select("dmr", "start", "end", "ndms", "sample", "mc", "cov", "state")
 
 

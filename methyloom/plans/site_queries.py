@@ -140,10 +140,10 @@ def fetch_regions(spark, sf):
     return rj.fetch_regions(sites(spark, sf), regions(spark, sf)).select("cell", "chrom", "pos", "context", "strand", "mc", "cov").distinct()
 
 
-@query("""SELECT doc_id, translate(reverse(substr(upper(text), 1)), 'ACGTN', 'TGCAN') AS rc FROM documents WHERE lang = 'en' AND text IS NOT NULL AND length(text) = strlen(text)""")
+@query("""SELECT doc_id, translate(array_to_string(list_reverse(string_split(text, '')), ''), 'ACGTacgtNn', 'TGCAtgcaNn') AS rc FROM documents WHERE text IS NOT NULL""")
 def reverse_complement(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en' AND text IS NOT NULL AND length(text) = octet_length(text)")
-    return d.select("doc_id", sq.reverse_complement(F.upper("text")).alias("rc"))
+    """Every text, whatever its letters: what is no base stays. Code points are reversed, as in SQL's split."""
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", sq.reverse_complement(F.col("text")).alias("rc"))
 
 
 @query(f"""WITH {SITES} SELECT context, regexp_matches(context, '^C[ACT][ATCGN]$') AS ch, regexp_matches(context, '^[AT]C[GC]$') AS wcs FROM (SELECT DISTINCT context FROM sites)""")
@@ -166,11 +166,10 @@ def transfer_bin_size(spark, sf):
     return s.select("size", sq.bin_size_label(F.col("size")).alias("label"))
 
 
-@query("""SELECT doc_id, len(list_filter([substr(t, CAST(i AS INT), 3) FOR i IN range(1, length(t) - 1)], lambda x: x IN ('CGA','CGC','CGG','CGT'))) AS n_cg
-  FROM (SELECT doc_id, upper(text) AS t FROM documents WHERE text IS NOT NULL AND length(text) >= 3)""")
+@query(f"""WITH {SITES}, c AS (SELECT chrom, pos, min(context) AS context FROM sites GROUP BY 1, 2) SELECT chrom, context, count(*) AS n, count(*) FILTER (context IN {CGN}) AS cgn, count(*) FILTER (context IN {CHN}) AS chn FROM c GROUP BY 1, 2""")
 def context_codebook(spark, sf):
-    d = table(spark, sf, "documents").where("text IS NOT NULL AND length(text) >= 3").select("doc_id", sq.kmers(F.upper("text"), 3).alias("k"))
-    return d.select("doc_id", F.size(F.filter("k", lambda x: x["kmer"].isin("CGA", "CGC", "CGG", "CGT"))).cast("long").alias("n_cg"))
+    book = so.codebook(sites(spark, sf), ["CGN", "CHN"])
+    return book.groupBy("chrom", "context").agg(F.count("*").alias("n"), F.count_if("CGN").alias("cgn"), F.count_if("CHN").alias("chn"))
 
 
 @query("""SELECT bases, plain, n AS n_dot FROM (VALUES ('.,+2AG.T', '.,.T', 2), ('^].-3ACG$,a', '.,a', 1), ('..+12AAAAAAAAAAAAC', '..C', 2), ('', '', 0)) t(bases, plain, n)""")

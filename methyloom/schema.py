@@ -29,6 +29,15 @@ def make_room(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def few_values(df: DataFrame, column: str, most: int = 100_000) -> list:
+    """The distinct non-null values of a column that has few (labels, samples, datasets), in order, on the driver. Raises
+    where there are more than ``most``: nothing is left out silently."""
+    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {column}")
+    return sorted(found)
+
+
 def chrom_key(chrom: Column) -> Column:
     """What spellings of one chromosome share: no blanks around, lower case, no ``chr`` prefix."""
     low = F.lower(F.trim(chrom))
