@@ -98,12 +98,13 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = np.cumsum(step)
 
 
-def _bounds(text: np.ndarray, order: np.ndarray, query: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query suffix the range of ``order`` whose suffixes begin with the same ``words`` symbols."""
+def _bounds(text: np.ndarray, order: np.ndarray, query: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the query suffixes those that occur, and for each the range of ``order`` whose suffixes begin with the same
+    ``words`` symbols."""
     padded = np.r_[text, np.zeros(words, np.uint64)]
 
-    def search(upper: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(order), np.int64)
+    def search(starts: np.ndarray, lo: np.ndarray, upper: bool) -> np.ndarray:
+        lo, hi = lo.copy(), np.full(len(starts), len(order), np.int64)
         while True:
             live = np.flatnonzero(lo < hi)
             if not len(live):
@@ -122,6 +123,105 @@ def _bounds(text: np.ndarray, order: np.ndarray, query: np.ndarray, starts: np.n
             lo[live[before]] = mid[before] + 1
             hi[live[~before]] = mid[~before]
 
+    lo = search(starts, np.zeros(len(starts), np.int64), False)
+    found = np.flatnonzero(lo < len(order))
+    for j in range(words):
+        found = found[padded[order[lo[found]] + j] == query[starts[found] + j]]
+    return starts[found], lo[found], search(starts[found], lo[found], True)
+
+
+#: Hits that are extended together, and words that are compared at once.
+_HITS, _STEP = 1 << 17, 16
+
+
+class Shard:
+    """The words of some texts with their suffix array; built once, searched for every block of held-out texts."""
+
+    def __init__(self, words: np.ndarray, begins: np.ndarray, least: int):
+        self.begins, self.least = begins, least
+        count = np.diff(begins)
+        owner = np.repeat(np.arange(len(count)), count)
+        # a 0 after each text: no word has this code
+        self.text = np.zeros(len(words) + len(count), np.uint64)
+        self.text[np.arange(len(words)) + owner] = words
+        self.ends = begins[1:] + np.arange(1, len(count) + 1)
+        self.order = suffix_array(self.text, least)
+
+    def search(self, index: Index) -> tuple[np.ndarray, ...]:
+        """Longest verbatim matches: text, item, words, place in the text (in words).
+
+        Only hits that cannot be longer to the left are extended: those whose words before differ. Where texts and items
+        repeat themselves these are few of all hits, and the longest matches are among them.
+        """
+        best = (np.zeros(0, np.int64),) * 4
+        if not len(self.text) or not len(index.starts):
+            return best
+        starts, lo, hi = _bounds(self.text, self.order, index.words, index.starts, self.least)
+        if not len(starts):
+            return best
+        # each range once, its places in the order of the words before them
+        low, first = np.unique(lo, return_index=True)
+        size = hi[first] - low
+        base = np.r_[0, np.cumsum(size)]
+        group = np.repeat(np.arange(len(low)), size)
+        place = self.order[np.repeat(low - base[:-1], size) + np.arange(base[-1])]
+        before = np.where(place > 0, self.text[place - 1], np.uint64(0))
+        s = np.lexsort((before, group))
+        place, before = place[s], before[s]
+        own = np.searchsorted(low, lo)
+        head = starts > index.begins[index.item[starts]]
+        asked = np.where(head, index.words[starts - 1], np.uint64(0))
+        # the part of a range with the same word before; an item's first word has none
+        left, right = _equal_part(before, base[own], base[own + 1], asked)
+        left, right = np.where(head, left, base[own]), np.where(head, right, base[own])
+        a = np.r_[base[own], right]
+        n = np.r_[left - base[own], base[own + 1] - right]
+        q = np.r_[starts, starts]
+        total = np.r_[0, np.cumsum(n)]
+        for begin in range(0, int(total[-1]), _HITS):
+            hit = np.arange(begin, min(begin + _HITS, int(total[-1])))
+            k = np.searchsorted(total, hit, side="right") - 1
+            best = self._longest(best, self._extended(index, q[k], place[a[k] + hit - total[k]]))
+        return best
+
+    def _extended(self, index: Index, q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+        item = index.item[q]
+        room = index.begins[item + 1] - q
+        length = np.full(len(q), self.least, np.int64)
+        live = np.flatnonzero(length < room)
+        step = np.arange(_STEP)
+        text, words = self.text, index.words
+        while len(live):
+            at, to = (p[live] + length[live])[:, None] + step, (q[live] + length[live])[:, None] + step
+            same = (text[np.minimum(at, len(text) - 1)] == words[np.minimum(to, len(words) - 1)]) & (at < len(text)) & (step < (room - length)[live][:, None])
+            run = np.where(same.all(1), _STEP, same.argmin(1))
+            length[live] += run
+            live = live[(run == _STEP) & (length[live] < room[live])]
+        doc = np.searchsorted(self.ends, p, side="right")
+        return doc, item, length, p - doc - self.begins[doc]
+
+    @staticmethod
+    def _longest(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        d, i, n, at = (np.r_[x, y] for x, y in zip(one, two))
+        s = np.lexsort((at, -n, i, d))
+        d, i, n, at = d[s], i[s], n[s], at[s]
+        keep = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1])]
+        return d[keep], i[keep], n[keep], at[keep]
+
+
+def _equal_part(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each range lo..hi of ``values``, in which they are sorted, the part that equals ``asked``."""
+
+    def search(upper: bool) -> np.ndarray:
+        a, z = lo.copy(), hi.copy()
+        while True:
+            live = np.flatnonzero(a < z)
+            if not len(live):
+                return a
+            mid = (a[live] + z[live]) >> 1
+            less = values[mid] <= asked[live] if upper else values[mid] < asked[live]
+            a[live[less]], z[live[~less]] = mid[less] + 1, mid[~less]
+
     return search(False), search(True)
 
 
@@ -130,44 +230,9 @@ class Index:
 
     def __init__(self, texts: list[str | None], least: int):
         self.words, self.begins = word_codes(pa.array(texts, pa.string()))
-        self.least = least
-        item = np.repeat(np.arange(len(texts)), np.diff(self.begins))
-        left = self.begins[item + 1] - np.arange(len(item))
+        self.item = np.repeat(np.arange(len(texts)), np.diff(self.begins))
+        left = self.begins[self.item + 1] - np.arange(len(self.item))
         self.starts = np.flatnonzero(left >= least)
-        self.item = item
-        self.longest = int(np.diff(self.begins).max(initial=0))
-
-    def search(self, words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Longest verbatim matches in a shard: text, item, words, place in the text (in words)."""
-        none = (np.zeros(0, np.int64),) * 4
-        if not len(words) or not len(self.starts):
-            return none
-        count = np.diff(begins)
-        owner = np.repeat(np.arange(len(count)), count)
-        # a 0 after each text: no word has this code
-        text = np.zeros(len(words) + len(count), np.uint64)
-        text[np.arange(len(words)) + owner] = words
-        order = suffix_array(text, self.least)
-        lo, hi = _bounds(text, order, self.words, self.starts, self.least)
-        size = hi - lo
-        total = int(size.sum())
-        if not total:
-            return none
-        q = np.repeat(self.starts, size)
-        p = order[np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(total)]
-        doc = np.searchsorted(begins[1:] + np.arange(1, len(count) + 1), p, side="right")
-        at = p - doc - begins[doc]
-        item, nth = self.item[q], q - self.begins[self.item[q]]
-        # hits that follow each other in both texts are one passage
-        s = np.lexsort((nth, at - nth, item, doc))
-        doc, item, at, nth = doc[s], item[s], at[s], nth[s]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - nth[1:] != at[:-1] - nth[:-1]) | (nth[1:] != nth[:-1] + 1)]
-        head = np.flatnonzero(new)
-        length = np.diff(np.r_[head, len(s)]) + self.least - 1
-        best = np.lexsort((at[head], -length, item[head], doc[head]))
-        d, i = doc[head][best], item[head][best]
-        keep = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1])]
-        return d[keep], i[keep], length[best][keep], at[head][best][keep]
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[tuple[list, list]]:
@@ -192,44 +257,52 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     of its letters. Null and empty texts hold nothing; items shorter than ``least_words`` match nothing; items with the
     same text are all reported; an empty table gives an empty result.
 
-    Each task gathers the texts that it scans into shards of ``shard_words`` words, sorts a shard's suffixes and
-    binary-searches every item suffix in them: one pass over the corpus, no shuffle. Held-out texts go to the tasks
-    in blocks of ``block_bytes``, one pass per block, so what is shipped does not grow with their number.
+    Each task gathers the texts that it scans into shards of ``shard_words`` words, sorts a shard's suffixes once and
+    binary-searches every item suffix in them: one pass over the corpus, no shuffle, however many items. Held-out texts
+    go to the tasks in blocks of ``block_bytes``, each a broadcast of its own; a task holds one block at a time. Hits
+    are extended in runs of bounded size, so a text that repeats itself needs no more room than another.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     dk, ik = docs.schema[doc_id].dataType, items.schema[item_id].dataType
     schema = f"`{doc_id}` {dk.simpleString()}, `{item_id}` {ik.simpleString()}, words INT, at_word INT"
-    source = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    found = None
+    context = docs.sparkSession.sparkContext
+    blocks = []
     for ids, texts in _blocks(items, item_id, text, block_bytes):
         index = Index(texts, least_words)
-        if not len(index.starts):
-            continue
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        names = pa.array(ids, to_arrow_type(ik))
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index, names: pa.Array = names) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
-
-            def shard() -> pa.RecordBatch:
-                keys = pa.concat_arrays([k for k, _, _ in held])
-                words = np.concatenate([w for _, w, _ in held])
-                begins = np.r_[0, np.cumsum(np.concatenate([np.diff(o) for _, _, o in held]))]
-                d, i, n, at = index.search(words, begins)
-                return pa.RecordBatch.from_arrays([keys.take(pa.array(d)), names.take(pa.array(i)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names=[doc_id, item_id, "words", "at_word"])
-
-            for b in batches:
-                if b.num_rows:
-                    held.append((b.column(0), *word_codes(b.column(1))))
-                    if sum(len(w) for _, w, _ in held) >= shard_words:
-                        yield shard()
-                        held.clear()
-            if held:
-                yield shard()
-
-        part = source.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], schema)
+        if len(index.starts):
+            blocks.append(context.broadcast((index, pa.array(ids, to_arrow_type(ik)))))
+    if not blocks:
+        return docs.sparkSession.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            keys = pa.concat_arrays([k for k, _, _ in held])
+            words = np.concatenate([w for _, w, _ in held])
+            begins = np.r_[0, np.cumsum(np.concatenate([np.diff(o) for _, _, o in held]))]
+            held.clear()
+            shard = Shard(words, begins, least_words)
+            for block in blocks:
+                index, names = block.value
+                d, i, n, at = shard.search(index)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(d)), names.take(pa.array(i)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names=[doc_id, item_id, "words", "at_word"])
+                if len(blocks) > 1:  # the next block takes its room; it is read again from the worker's disk
+                    block.__dict__.pop("_value", None)
+
+        size = 0
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0), *word_codes(b.column(1))))
+                size += len(held[-1][1])
+                if size >= shard_words:
+                    yield from found()
+                    size = 0
+        if held:
+            yield from found()
+
+    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:

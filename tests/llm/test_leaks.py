@@ -48,6 +48,30 @@ def test_form_case_and_punctuation(spark):
     assert sorted((r.doc_id, r.item_id) for r in lk.leaked_passages(df, ev, least_words=5).collect()) == [(1, "e"), (2, "f")]
 
 
+def test_texts_that_repeat_themselves():
+    import resource
+    import time
+
+    began, before = time.perf_counter(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    texts = ["0 " * 40_000, "x " + "0 1 " * 20_000, "y " + "0 " * 200 + "z", None]
+    shard = lk.Shard(*lk.word_codes(pa.array(texts)), 12)
+    index = lk.Index(["0 " * 300, "0 1 " * 150 + "q", "0 " * 11], 12)
+    d, i, n, at = shard.search(index)
+    assert sorted(zip(d.tolist(), i.tolist(), n.tolist(), at.tolist())) == [(0, 0, 300, 0), (1, 1, 300, 1), (2, 0, 200, 1)]
+    assert time.perf_counter() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # KB
+
+
+def test_array_is_built_once_for_all_blocks(spark, monkeypatch):
+    rng = random.Random(1)
+    words = [f"v{i}" for i in range(50)]
+    ev = spark.createDataFrame([(f"e{i}", " ".join(rng.choices(words, k=20))) for i in range(40)], "item_id STRING, text STRING")
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=40))) for i in range(50)], "doc_id BIGINT, text STRING").coalesce(1)
+    one, many = (lk.leaked_passages(docs, ev, least_words=3, block_bytes=n) for n in (1 << 20, 120))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) != []
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_empty(spark):
     ev = spark.createDataFrame([("e", "a b c")], "item_id STRING, text STRING")
     df = spark.createDataFrame([(1, "a b c")], "doc_id BIGINT, text STRING")
