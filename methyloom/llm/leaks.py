@@ -32,8 +32,8 @@ def _word_tables() -> tuple[np.ndarray, np.ndarray]:
             continue
         in_word[cp] = True
         low = ch.lower()
-        # a letter whose capital looks like a Latin one counts as that one: the capital was replaced before
-        low = upper_twin.get(low, low)
+        # a letter whose other case looks like a Latin one counts as that one: that other case was replaced before
+        low = upper_twin.get(low, LOOKALIKES.get(low, low))
         fold[cp] = ord(low[0])
     with np.errstate(over="ignore"):
         x = fold + np.uint64(0x9E3779B97F4A7C15)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.fill import NO_LABEL
 from ..schema import label_key
-from . import leaks, mixture, neighbours, tokens, topn, unicode_form
+from . import form_sql, leaks, mixture, neighbours, tokens, topn, unicode_form
 
 DIM = 64
 
@@ -75,12 +75,17 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"))
 
 
+def p10_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document that others read like, with how many."""
+    return unicode_form.alike_links(table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "links")
+
+
 def p10_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's text in the consistent form."""
     return table(spark, sf, "documents").select("doc_id", unicode_form.consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_neighbours, p6_found, p6_clusters, p8_ids, p9_found, p9_leaks, p9_clean, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_neighbours, p6_found, p6_clusters, p8_ids, p9_found, p9_leaks, p9_clean, p10_found, p10_links, p10_forms)}
 
 SQL = {
     "p2_found": """
@@ -89,4 +94,16 @@ SQL = {
         SELECT hypo_in, dmg_id FROM (SELECT *, row_number() OVER (PARTITION BY hypo_in
           ORDER BY AUROC * similarity DESC, names ASC NULLS LAST, dmg_id ASC) AS k FROM v) WHERE k <= 10
     """,
+    "p9_found": f"WITH {form_sql.passages()} SELECT doc_id, item_id FROM passage",
+    "p9_leaks": f"WITH {form_sql.passages()} SELECT doc_id, item_id, words, at_word FROM passage",
+    "p9_clean": f"WITH {form_sql.passages()} SELECT doc_id, text, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM passage)",
+    "p10_found": f"""
+        WITH {form_sql.forms("documents", "doc_id")}, f AS (SELECT doc_id, text, form FROM documents JOIN documents_form USING (doc_id) WHERE regexp_matches(form, '\\S'))
+        SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id
+    """,
+    "p10_links": f"""
+        WITH {form_sql.forms("documents", "doc_id")}, f AS (SELECT doc_id, text, form FROM documents JOIN documents_form USING (doc_id) WHERE regexp_matches(form, '\\S'))
+        SELECT a.doc_id, count(*) AS links FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text GROUP BY 1
+    """,
+    "p10_forms": f"WITH {form_sql.forms('documents', 'doc_id')} SELECT doc_id, form FROM documents LEFT JOIN documents_form USING (doc_id)",
 }

@@ -14,18 +14,23 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-# Letters of another script with the shape of a Latin letter, and that letter. Cyrillic, then Greek.
+# Letters of another script with the shape of a Latin letter, and that letter: Cyrillic, Greek, Armenian,
+# Cherokee. Left out are letters whose two cases look like two different Latin letters (Greek nu and upsilon in lower
+# case), as texts compared without case would then mix those up, and dotless i, which is a letter of its own.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J", "Ԛ": "Q", "Ԝ": "W",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "ο": "o", "ϲ": "c", "Ϲ": "C", "ϳ": "j",
+    "α": "a", "ι": "i", "κ": "k", "ρ": "p", "χ": "x",
+    "օ": "o", "Օ": "O", "ս": "u", "Ս": "U", "լ": "l", "Լ": "L", "Տ": "S", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "յ": "j",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
 }
 # Ranges of characters that show nothing (soft hyphen, joiners, directions, selectors, byte order mark, controls).
 INVISIBLE = ((0x0, 0x8), (0xE, 0x1F), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFFB), (0xE0000, 0xE0FFF))
 # Blanks besides those of category Zs; line ends.
 BLANKS, LINE_ENDS = (0x9, 0xB, 0xC, 0x2800), (0xD, 0x85, 0x2028, 0x2029)
-# Compatibility decompositions that are only another width or a joined form of the same letters.
-FORM_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
+# Compatibility decompositions that are only another width, type face or joined form of the same letters.
+FORM_TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 LIGATURES = ((0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3))
 
 #: Code points from here on have no decomposition and are kept, but for the invisible ones.
@@ -275,15 +280,44 @@ def alike_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return formed.where(shows_something(F.col("form"))).select("id", F.md5("form").alias("class_id"), "text_id")
 
 
+#: Members of a text that are gathered in one row.
+CHUNK = 1024
+#: Texts of a class that meet all others of it in one task.
+SIDE = 4096
+
+
+def _mixed_texts(rows: DataFrame) -> DataFrame:
+    """``class_id``, ``text_id``, ``n`` (its rows), ``texts`` (of its class) of the texts that others read like."""
+    texts = rows.groupBy("class_id", "text_id").agg(F.count("*").alias("n"))
+    mixed = texts.groupBy("class_id").agg(F.count("*").alias("texts"), F.sum("n").alias("docs")).where("texts > 1")
+    return texts.join(mixed, "class_id")
+
+
 def alike_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id_a``, ``id_b``: every two rows whose texts differ but read the same, the smaller id first.
 
-    Classes all of whose texts are equal are found by an aggregate with a partial step and go no further, so that
-    copies of one text, however many, cost nothing more. Classes are kept as a table of two hashes per row in the shared
-    folder, so texts are read once. Ids are taken to be unique; null and blank texts are left out.
+    Pairs are made of different texts, not of rows: copies of one text, however many, are counted before anything is
+    joined, and a class of equal texts goes no further. Where a class has more than SIDE texts, they are dealt out by a
+    hash, and each deal meets the whole class in a task of its own. The ids of a text lie in rows of about CHUNK; a pair
+    of texts becomes pairs of such rows, which are opened last, so a task's work is the pairs that come out of it.
+    Classes are kept as a table of two hashes per row in the shared folder, so texts are read once. Ids are taken to be
+    unique; null and blank texts are left out.
     """
     rows = stored(alike_classes(docs, id_col, text_col), "alike")
-    mixed = rows.groupBy("class_id").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi").select("class_id")
-    held = rows.join(mixed, "class_id", "left_semi")
-    a, b = held.select("class_id", F.col("id").alias("id_a"), F.col("text_id").alias("text_a")), held.select("class_id", F.col("id").alias("id_b"), F.col("text_id").alias("text_b"))
-    return a.join(b, "class_id").where("id_a < id_b AND text_a <> text_b").select("id_a", "id_b")
+    texts = _mixed_texts(rows).withColumn("deals", F.ceil(F.col("texts") / SIDE).cast("int")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    a = texts.select("class_id", F.col("text_id").alias("text_a"), F.pmod(F.xxhash64("text_id"), "deals").cast("int").alias("deal"), F.col("chunks").alias("chunks_a"))
+    b = texts.select("class_id", F.col("text_id").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("chunks").alias("chunks_b"))
+    pairs = a.join(b, ["class_id", "deal"]).where("text_a < text_b").select("text_a", "text_b", F.explode(F.sequence(F.lit(0), F.col("chunks_a") - 1)).alias("part_a"), "chunks_b")
+    pairs = pairs.select("text_a", "text_b", "part_a", F.explode(F.sequence(F.lit(0), F.col("chunks_b") - 1)).alias("part_b"))
+    members = rows.join(texts.select("text_id", "chunks"), "text_id").groupBy("text_id", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("part")).agg(F.collect_list("id").alias("ids"))
+    a, b = (members.select(F.col("text_id").alias(f"text_{x}"), F.col("part").alias(f"part_{x}"), F.col("ids").alias(f"ids_{x}")) for x in "ab")
+    met = pairs.join(a, ["text_a", "part_a"]).join(b, ["text_b", "part_b"]).select(F.explode("ids_a").alias("a"), "ids_b").select("a", F.explode("ids_b").alias("b"))
+    return met.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+
+
+def alike_links(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``class_id``, ``links``: each row whose text others read like, with the number of rows whose texts differ
+    from its own but read the same: what :func:`alike_pairs` says, in as many rows as documents."""
+    rows = stored(alike_classes(docs, id_col, text_col), "alike")
+    texts = _mixed_texts(rows).select("text_id", (F.col("docs") - F.col("n")).alias("links"))
+    return rows.join(texts, "text_id").select("id", "class_id", "links")
