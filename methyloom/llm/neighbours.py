@@ -15,6 +15,10 @@ from ..session import stored
 
 #: Rows of one posting list that are worked on together; longer lists are split into blocks, each pair of which meets.
 LIST_ROWS = 8192
+#: A longer list is split by pivots of its own, about one per SUB_ROWS rows and at most MOST_SUB, level by level.
+SPLIT_ROWS, SUB_ROWS, MOST_SUB, LEVELS = 1 << 15, 512, 4096, 3
+#: Postings that a task searches, about.
+TASK_ROWS = 1 << 16
 #: Most pivots: bounds what is shipped to the tasks (MOST_PIVOTS vectors).
 MOST_PIVOTS = 16384
 
@@ -115,20 +119,68 @@ def search_list(x: np.ndarray, perm: np.ndarray, left: np.ndarray, right: np.nda
     return np.concatenate(rows), np.concatenate(others), np.concatenate(sims)
 
 
-def first_by_hash(df: DataFrame, key: str, count: int, n: int) -> DataFrame:
-    """The first ``count`` of ``n`` rows by a hash of ``key``. Rows with a hash above where about four times as many lie
-    are dropped in the scan, so what tasks send to the driver is bounded together, not each by ``count``."""
+def low_by_hash(df: DataFrame, key: str, count: int, n: int) -> DataFrame:
+    """The rows of ``n`` whose hash of ``key`` lies where about four times ``count`` lie."""
     limit = -(1 << 63) + int((1 << 64) * min(1.0, (4 * count + 64) / max(n, 1)))
-    rows = df if limit >= 1 << 63 else df.where(F.xxhash64(key) < F.lit(limit))
+    return df if limit >= 1 << 63 else df.where(F.xxhash64(F.col(f"`{key}`")) < F.lit(limit))
+
+
+def first_by_hash(df: DataFrame, key: str, count: int, n: int) -> DataFrame:
+    """The first ``count`` of ``n`` rows by a hash of ``key``. Rows with a higher hash are dropped in the scan, so what
+    tasks send to the driver is bounded together, not each by ``count``."""
+    rows = low_by_hash(df, key, count, n)
     return rows.orderBy(F.xxhash64(key), key).limit(count)
 
 
-def choose_pivots(vectors: DataFrame, count: int, dim: int, n: int) -> np.ndarray:
-    """Up to ``count`` distinct vectors, of the first 2 * ``count`` by a hash: a bounded sample, fixed by the data."""
-    raw = list(dict.fromkeys(bytes(r.v) for r in first_by_hash(vectors.select("v"), "v", 2 * count, n).collect()))[:count]
+def choose_pivots(df: DataFrame, ident: str, vector: str, count: int, dim: int, n: int) -> np.ndarray:
+    """Up to ``count`` distinct usable vectors by hash: a bounded sample, fixed by the data. Most rows are dropped by the
+    hash of their array before any is parsed."""
+    some = usable_vectors(low_by_hash(df, vector, 2 * count, n), ident, vector, dim).select("v")
+    raw = list(dict.fromkeys(bytes(r.v) for r in some.orderBy(F.xxhash64("v"), "v").limit(2 * count).collect()))[:count]
     return unit(np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)) if raw else np.zeros((0, dim), np.float32)
 
 
+def _deepened(postings: DataFrame, dim: int, post: int, probe: int) -> tuple[DataFrame, dict[int, int]]:
+    """``postings`` with each list of more than SPLIT_ROWS rows replaced by lists of pivots of its own, and the sizes of
+    the lists that are still longer than LIST_ROWS.
+
+    A list's pivots are members by hash. Its members meet them in blocks of about LIST_ROWS, which all have all of the
+    list's pivots, and are posted again in the lists of their nearest: no block grows with the list.
+    """
+    spark, columns = postings.sparkSession, postings.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in postings.schema.fields)
+    sizes: dict[int, int] = {}
+    for level in range(LEVELS + 1):
+        sizes = {r.list: r.n for r in postings.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS).collect()}
+        deep = [(x, n, min(MOST_SUB, -(-n // SUB_ROWS)), -(-n // LIST_ROWS)) for x, n in sizes.items() if n > SPLIT_ROWS]
+        if not deep or level == LEVELS:
+            break
+        table = spark.createDataFrame(deep, "list BIGINT, rows BIGINT, subs INT, blocks INT")
+        members = postings.join(table, "list")
+        chosen = F.col("held") & (F.pmod(F.xxhash64("rep", "list"), "rows") < F.col("subs"))
+        pivots = members.where(chosen).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, "block", F.lit(True).alias("pivot"))
+        members = members.select(*columns, F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(False).alias("pivot"))
+
+        def assign(key: tuple, t: pa.Table) -> pa.Table:
+            own, rest = t.filter(t["pivot"]).sort_by("v"), t.filter(pc.invert(t["pivot"])).select(columns)
+            if not rest.num_rows or not own.num_rows:
+                return rest
+            near = permutations(unit(matrix(rest["v"], dim)), unit(matrix(own["v"], dim)), max(post, probe)).astype(np.int64)
+            place = np.tile(np.arange(near.shape[1]), len(near))
+            row = np.repeat(np.arange(len(near)), near.shape[1])
+            held, asked = np.asarray(rest["held"])[row] & (place < post), np.asarray(rest["asked"])[row] & (place < probe)
+            use = np.flatnonzero(held | asked)
+            out = rest.take(pa.array(row[use]))
+            # the new list's number: that of the old one, mixed with the pivot's
+            number = pa.array(((key[0].as_py() + 1) * 1_000_003 + near.ravel()[use]) & 0x7FFFFFFFFFFFFFFF)
+            made = {"list": number, "held": pa.array(held[use]), "asked": pa.array(asked[use])}
+            return pa.table([made.get(c, out[c]) for c in columns], names=columns)
+
+        deeper = members.unionByName(pivots).groupBy("list", "block").applyInArrow(assign, kinds)
+        postings = stored(postings.join(table.select("list"), "list", "left_anti").select(*columns).unionByName(deeper), "postings", compression="zstd")
+    return postings, sizes
+
+
 def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, least: float = -1.0, post: int = 3, length: int = 12, keep: int = 96, pivots: int | None = None, queries: DataFrame | None = None, probe: int | None = None) -> DataFrame:
     """``id``, ``other``, ``cosine``: for every row its ``k`` most similar other rows by cosine, among those of at
     least ``least`` similarity; equal similarities by ``other`` ascending.
@@ -145,14 +197,15 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
     ranking.
 
     Equal vectors are one class with a representative, so copies, however many, are posted once. Lists of more than
-    LIST_ROWS rows are split into blocks, every pair of which meets in a task of its own: no task holds an unbounded
-    list, and nothing is dropped.
+    SPLIT_ROWS rows are split by pivots of their own; those of more than LIST_ROWS into blocks, every pair of which
+    meets in a group of its own: no group is unbounded, nothing is dropped, and the groups of a task are about
+    TASK_ROWS rows however large the table is.
     """
     spark = df.sparkSession
     kind = df.schema[ident].dataType.simpleString()
     vectors = usable_vectors(df, ident, vector, dim)
     n = df.count()
-    chosen = choose_pivots(vectors, pivots or min(MOST_PIVOTS, max(32, math.isqrt(2 * n))), dim, n)
+    chosen = choose_pivots(df, ident, vector, pivots or min(MOST_PIVOTS, max(32, math.isqrt(2 * n))), dim, n)
     shared = spark.sparkContext.broadcast(chosen)
     probe = min(probe or post, len(chosen))
     length, post = min(max(length, probe), len(chosen)), min(post, len(chosen))
@@ -177,14 +230,15 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
     held = F.col("place") < post
     postings = posted.select("rep", "v", "asked", "perm", F.posexplode("lists").alias("place", "list"))
     postings = postings.withColumns({"asked": F.col("asked") & (F.col("place") < probe), "held": held}).where("asked OR held").drop("place")
-    # as many counts as pivots
-    long = {r.list: -(-r.n // LIST_ROWS) for r in postings.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS).collect()}
+    postings, sizes = _deepened(postings.withColumn("list", F.col("list").cast("bigint")), dim, post, probe)
+    long = [(x, -(-n // LIST_ROWS)) for x, n in sizes.items()]
     if long:
-        blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in long.items() for x in item]), F.col("list")), F.lit(1))
-        postings = postings.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        postings = postings.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "v", "asked", "held", "perm", "list", "own", F.least("own", "with").alias("b0"), F.greatest("own", "with").alias("b1"))
+        postings = postings.join(spark.createDataFrame(long, "list BIGINT, blocks INT"), "list", "left").fillna(1, ["blocks"])
+        postings = postings.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        postings = postings.select("rep", "v", "asked", "held", "perm", "list", "own", F.least("own", "with").alias("b0"), F.greatest("own", "with").alias("b1"))
     else:
         postings = postings.select("*", *[F.lit(0).alias(c) for c in ("own", "b0", "b1")])
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * most // TASK_ROWS))
 
     def search(key: tuple, t: pa.Table) -> pa.Table:
         x, perm = unit(matrix(t["v"], dim)), np.frombuffer(b"".join(t["perm"].to_pylist()), np.int16).reshape(-1, length)
@@ -197,7 +251,7 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
         rep = t["rep"].combine_chunks()
         return pa.table({"x": rep.take(pa.array(i)), "y": rep.take(pa.array(j)), "cosine": pa.array(np.minimum(s.astype(np.float64), 1.0))})
 
-    edges = postings.groupBy("list", "b0", "b1").applyInArrow(search, f"x {kind}, y {kind}, cosine DOUBLE")
+    edges = postings.repartition(tasks, "list", "b0", "b1").groupBy("list", "b0", "b1").applyInArrow(search, f"x {kind}, y {kind}, cosine DOUBLE")
     edges = edges.groupBy("x", "y").agg(F.max("cosine").alias("cosine"))
     return _members(vectors, posted, edges, k, least, queries).select("id", "other", "cosine")
 

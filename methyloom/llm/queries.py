@@ -94,6 +94,13 @@ SQL = {
         SELECT hypo_in, dmg_id FROM (SELECT *, row_number() OVER (PARTITION BY hypo_in
           ORDER BY AUROC * similarity DESC, names ASC NULLS LAST, dmg_id ASC) AS k FROM v) WHERE k <= 10
     """,
+    "p5_found": """
+        WITH u AS (SELECT cell, any_value(X_pca)::DOUBLE[64] AS v FROM adata WHERE cell IS NOT NULL AND len(X_pca) = 64 AND len(list_filter(X_pca, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+            AND len(list_filter(X_pca, lambda x: x <> 0)) > 0 GROUP BY 1),
+          p AS (SELECT a.cell AS a, b.cell AS b, array_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.cell <> b.cell WHERE array_cosine_similarity(a.v, b.v) >= 0.95),
+          n AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+        SELECT DISTINCT least(a, b) AS cell_a, greatest(a, b) AS cell_b FROM n
+    """,
     "p9_found": f"WITH {form_sql.passages()} SELECT doc_id, item_id FROM passage",
     "p9_leaks": f"WITH {form_sql.passages()} SELECT doc_id, item_id, words, at_word FROM passage",
     "p9_clean": f"WITH {form_sql.passages()} SELECT doc_id, text, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM passage)",

@@ -62,6 +62,19 @@ def test_long_lists_in_blocks_lose_nothing(spark, monkeypatch):
     assert split == whole
 
 
+def test_hot_lists_get_pivots_of_their_own(spark, monkeypatch):
+    x = data(1500)
+    for name, value in (("LIST_ROWS", 200), ("SPLIT_ROWS", 300), ("SUB_ROWS", 60)):
+        monkeypatch.setattr(nb, name, value)
+    got = {(r.id, r.other) for r in nb.neighbours(frame(spark, x), "cell", "x", 16, least=0.95, pivots=4).collect()}
+    want = brute(x, 5, 0.95)
+    assert len(got & want) >= 0.97 * len(want)
+    queries = spark.createDataFrame([(f"c{i:05d}",) for i in range(0, len(x), 20)], "id STRING")
+    got = {(r.id, r.other) for r in nb.neighbours(frame(spark, x), "cell", "x", 16, pivots=4, post=4, probe=4, keep=256, queries=queries).collect()}
+    want = {p for p in brute(x, 5, -2) if int(p[0][1:]) % 20 == 0}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_tiny(spark, n):
     got = nb.neighbours(frame(spark, data()[:n]) if n else spark.createDataFrame([], SCHEMA), "cell", "x", 16).collect()
