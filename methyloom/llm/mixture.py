@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -30,22 +31,30 @@ class Mixture:
     cov: np.ndarray
     tied: bool = False
 
-    def log_density(self, z: np.ndarray) -> np.ndarray:
-        """Log of weight times density of each row under each component."""
+    def log_density(self, z: np.ndarray, zz: np.ndarray | None = None) -> np.ndarray:
+        """Log of weight times density of each row under each component; ``zz``: :func:`products` of ``z``."""
         k, d = self.mean.shape
         root = np.linalg.cholesky(self.cov)
         inverse = np.linalg.inv(root)
-        shift = np.einsum("kij,kj->ki", inverse, self.mean)
-        y = z @ inverse.transpose(2, 0, 1).reshape(d, k * d) - shift.ravel()
-        square = (y * y).reshape(len(z), k, d).sum(2)
+        precision = np.einsum("kji,kjl->kil", inverse, inverse)
+        slope = np.einsum("kij,kj->ki", precision, self.mean)
+        first, second = np.triu_indices(d)
+        twice = precision[:, first, second] * np.where(first == second, 1.0, 2.0)
+        square = (products(z) if zz is None else zz) @ twice.T - 2 * (z @ slope.T) + (slope * self.mean).sum(1)
         half = np.log(np.diagonal(root, axis1=1, axis2=2)).sum(1)
-        return np.log(self.weight) - 0.5 * d * math.log(2 * math.pi) - half - 0.5 * square
+        return np.log(self.weight) - 0.5 * d * math.log(2 * math.pi) - half - 0.5 * np.maximum(square, 0)
 
     def free_parameters(self) -> int:
         k, d = self.mean.shape
         return k * (1 + d) - 1 + (1 if self.tied else k) * (d * (d + 1) // 2)
 
 
+def products(z: np.ndarray) -> np.ndarray:
+    """The products of every two features of each row, each pair once."""
+    first, second = np.triu_indices(z.shape[1])
+    return z[:, first] * z[:, second]
+
+
 def soft(logs: np.ndarray) -> tuple[np.ndarray, float]:
     """Responsibilities and the log-likelihood."""
     top = logs.max(1, keepdims=True)
@@ -54,12 +63,19 @@ def soft(logs: np.ndarray) -> tuple[np.ndarray, float]:
     return p / s, float((top + np.log(s)).sum())
 
 
-def sufficient(model: Mixture, z: np.ndarray) -> np.ndarray:
+def sufficient(model: Mixture, z: np.ndarray, zz: np.ndarray | None = None) -> np.ndarray:
     """Log-likelihood, then for each component its sum of responsibilities, of rows and of outer products."""
-    r, like = soft(model.log_density(z))
-    first = r.T @ z
-    second = np.stack([(z * r[:, [i]]).T @ z for i in range(r.shape[1])])
-    return np.concatenate([[like], r.sum(0), first.ravel(), second.ravel()])
+    zz = products(z) if zz is None else zz
+    r, like = soft(model.log_density(z, zz))
+    return np.concatenate([[like], _sums(r, z, zz)])
+
+
+def _sums(r: np.ndarray, z: np.ndarray, zz: np.ndarray) -> np.ndarray:
+    d = z.shape[1]
+    place = np.zeros((d, d), np.int64)
+    place[np.triu_indices(d)] = np.arange(zz.shape[1])
+    place = np.maximum(place, place.T)
+    return np.concatenate([r.sum(0), (r.T @ z).ravel(), (r.T @ zz)[:, place.ravel()].ravel()])
 
 
 def updated(stats: np.ndarray, k: int, d: int, n: float, ridge: float, tied: bool = False) -> Mixture:
@@ -78,39 +94,64 @@ def updated(stats: np.ndarray, k: int, d: int, n: float, ridge: float, tied: boo
     return Mixture(np.maximum(n_k / n, 1e-12), mean, cov)
 
 
-def start(z: np.ndarray, k: int, ridge: float, steps: int = 10, tries: int = 4) -> list[Mixture]:
-    """Mixtures of ``k`` components on the sample, with own and with one covariance: k-means from spread-out seeds,
-    then a few EM steps."""
-    rng = np.random.default_rng(k)
-    best, least = None, np.inf
-    for _ in range(tries):
-        centre = z[[rng.integers(len(z))]]
-        near = ((z - centre[0]) ** 2).sum(1)
-        for _ in range(k - 1):
-            # of some draws by squared distance the one that helps most
-            draw = rng.choice(len(z), 8, p=near / near.sum()) if near.sum() > 0 else rng.integers(len(z), size=8)
-            options = np.minimum(near, ((z[None, :, :] - z[draw][:, None, :]) ** 2).sum(2))
-            pick = options.sum(1).argmin()
-            centre, near = np.vstack([centre, z[draw[pick]]]), options[pick]
-        for _ in range(6):
-            own = ((z * z).sum(1)[:, None] - 2 * z @ centre.T + (centre * centre).sum(1)).argmin(1)
-            sums = np.zeros_like(centre)
-            np.add.at(sums, own, z)
-            size = np.bincount(own, minlength=k)
-            centre = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centre)
-        cost = ((z - centre[own]) ** 2).sum()
-        if cost < least:
-            best, least = (centre, own), cost
-    centre, own = best
-    hard = np.eye(k)[own]
-    stats = np.concatenate([[0.0], hard.sum(0), (hard.T @ z).ravel(), np.stack([(z * hard[:, [i]]).T @ z for i in range(k)]).ravel()])
-    models = []
-    for tied in (False, True):
-        model = updated(stats, k, z.shape[1], len(z), ridge, tied)
-        for _ in range(steps):
-            model = updated(sufficient(model, z), k, z.shape[1], len(z), ridge, tied)
-        models.append(model)
-    return models
+#: Sets of seeds that are tried for a number of components.
+TRIES = 4
+
+
+def seeded(z: np.ndarray, k: int, trial: int) -> tuple[float, np.ndarray]:
+    """Cost and clusters of k-means from spread-out seeds."""
+    rng = np.random.default_rng([k, trial])
+    length = (z * z).sum(1)
+
+    def far(points: np.ndarray) -> np.ndarray:
+        return np.maximum(length - 2 * points @ z.T + (points * points).sum(1)[:, None], 0)
+
+    centre = z[[rng.integers(len(z))]]
+    near = far(centre)[0]
+    for _ in range(k - 1):
+        # of some draws by squared distance the one that helps most
+        draw = np.searchsorted(np.cumsum(near), rng.random(8) * near.sum()).clip(0, len(z) - 1) if near.sum() > 0 else rng.integers(len(z), size=8)
+        options = np.minimum(near, far(z[draw]))
+        pick = options.sum(1).argmin()
+        centre, near = np.vstack([centre, z[draw[pick]]]), options[pick]
+    for _ in range(6):
+        own = far(centre).argmin(0)
+        size = np.bincount(own, minlength=k)
+        sums = np.stack([np.bincount(own, z[:, j], k) for j in range(z.shape[1])], 1)
+        centre = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centre)
+    return float(((z - centre[own]) ** 2).sum()), own
+
+
+def fitted(z: np.ndarray, own: np.ndarray, k: int, tied: bool, ridge: float, steps: int = 10) -> Mixture:
+    """A mixture of the given clusters after a few steps of expectation-maximisation on the sample."""
+    zz = products(z)
+    model = updated(np.r_[0.0, _sums(np.eye(k)[own], z, zz)], k, z.shape[1], len(z), ridge, tied)
+    for _ in range(steps):
+        model = updated(sufficient(model, z, zz), k, z.shape[1], len(z), ridge, tied)
+    return model
+
+
+def starts(spark: SparkSession, z: np.ndarray, numbers: Sequence[int], ridge: float, steps: int = 10) -> dict[int, list[Mixture]]:
+    """For each number of components a mixture with own covariances and one with a common covariance, fitted to the
+    sample ``z`` (broadcast) from the best of TRIES sets of seeds: one task a set of seeds, then one a mixture."""
+    shared = spark.sparkContext.broadcast(z)
+
+    def spread(jobs: list[tuple], work: Callable) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for job in b.column(1).to_pylist():
+                    yield pa.RecordBatch.from_pydict({"made": [pickle.dumps(work(*pickle.loads(job)))]})
+
+        # the dearest first, one a partition
+        jobs = sorted(jobs, key=lambda j: -j[0])
+        rows = spark.createDataFrame([(i, bytearray(pickle.dumps(j))) for i, j in enumerate(jobs)], "i INT, job BINARY").repartitionByRange(len(jobs), "i")
+        return [pickle.loads(r.made) for r in rows.mapInArrow(run, "made BINARY").collect()]
+
+    tried = spread([(k, t) for k in numbers for t in range(TRIES)], lambda k, t: (k, *seeded(shared.value, k, t)))
+    best = {k: min(((cost, own) for j, cost, own in tried if j == k), key=lambda x: x[0])[1] for k in numbers}
+    done = spread([(k, tied, best[k]) for k in numbers for tied in (False, True)], lambda k, tied, own: (k, fitted(shared.value, own, k, tied, ridge, steps)))
+    shared.unpersist()
+    return {k: sorted((m for j, m in done if j == k), key=lambda m: m.tied) for k in numbers}
 
 
 def best_count(rate: Callable[[list[int]], Sequence[float]], most: int) -> int:
@@ -222,14 +263,24 @@ def mixture_members(df: DataFrame, ident: str, vector: str, dim: int, label: Col
 
     def one_pass(models: Sequence[Mixture]) -> list[np.ndarray]:
         sizes = [1 + len(m.weight) * (1 + d + d * d) for m in models]
-        total = summed(vectors.select("v"), lambda b: np.concatenate([sufficient(m, features(b.column(0))) for m in models]), sum(sizes))
+
+        def add(b: pa.RecordBatch) -> np.ndarray:
+            z = features(b.column(0))
+            zz = products(z)
+            return np.concatenate([sufficient(m, z, zz) for m in models])
+
+        total = summed(vectors.select("v"), add, sum(sizes))
         return np.split(total, np.cumsum(sizes)[:-1])
 
     best: list = [math.inf, None, None]
 
     def rate(numbers: list[int]) -> list[float]:
         """The criterion of each number of components; the best model of all is kept."""
-        models = [m for k in numbers for m in start(draw(min(n, max(sample, SAMPLE_EACH * k))), k, ridge)]
+        rows = [min(n, max(sample, SAMPLE_EACH * k)) for k in numbers]
+        made: dict[int, list[Mixture]] = {}
+        for size in dict.fromkeys(rows):
+            made |= starts(spark, draw(size), [k for k, r in zip(numbers, rows) if r == size], ridge)
+        models = [m for k in numbers for m in made[k]]
         stats = one_pass(models)
         criterion = [m.free_parameters() * math.log(n) - 2 * s[0] for m, s in zip(models, stats)]
         pick = int(np.argmin(criterion))

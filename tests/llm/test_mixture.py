@@ -38,10 +38,25 @@ def test_empty_and_tiny(spark):
     assert [tuple(r) for r in mx.doubtful_labels(members).collect()] == [("b", "l")]
 
 
-def test_likelihood_grows():
+def test_density_is_that_of_the_normal_distribution():
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(3, 4, 4))
+    model = mx.Mixture(np.array([0.2, 0.3, 0.5]), rng.normal(size=(3, 4)), a @ a.transpose(0, 2, 1) + 0.1 * np.eye(4))
+    z = rng.normal(size=(9, 4))
+    for i in range(3):
+        y = z - model.mean[i]
+        want = np.log(model.weight[i]) - 0.5 * (4 * np.log(2 * np.pi) + np.linalg.slogdet(model.cov[i])[1] + (y @ np.linalg.inv(model.cov[i]) * y).sum(1))
+        assert np.allclose(model.log_density(z)[:, i], want)
+    r, like = mx.soft(model.log_density(z))
+    s = mx.sufficient(model, z)
+    assert np.isclose(s[0], like) and np.allclose(s[1:4], r.sum(0)) and np.allclose(s[4:16].reshape(3, 4), r.T @ z)
+    assert np.allclose(s[16:].reshape(3, 4, 4), np.einsum("nk,ni,nj->kij", r, z, z))
+
+
+def test_likelihood_grows(spark):
     x, _ = blobs(3)
     z = x[:, :6]
-    for model in mx.start(z, 3, 1e-3, steps=0):
+    for model in mx.starts(spark, z, [3], 1e-3, steps=0)[3]:
         last = -np.inf
         for _ in range(8):
             s = mx.sufficient(model, z)
