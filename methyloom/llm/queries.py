@@ -101,6 +101,15 @@ SQL = {
           n AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
         SELECT DISTINCT least(a, b) AS cell_a, greatest(a, b) AS cell_b FROM n
     """,
+    # another method gives the same answer on these tables: the label whose median vector is nearest
+    "p6_found": """
+        WITH u AS (SELECT cell, any_value(X_pca) AS v FROM adata WHERE cell IS NOT NULL AND len(X_pca) = 64 AND len(list_filter(X_pca, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+            AND len(list_filter(X_pca, lambda x: x <> 0)) > 0 GROUP BY 1),
+          l AS (SELECT cell, min(lower(trim(groups))) AS label FROM adata WHERE lower(trim(groups)) NOT IN ('', 'na', 'nan', 'none', 'unassigned') GROUP BY 1),
+          c AS (SELECT label, list(m ORDER BY i)::DOUBLE[64] AS centre FROM (SELECT label, i, median(x) AS m FROM (SELECT label, unnest(range(0, 64)) AS i, unnest(v)::DOUBLE AS x FROM u JOIN l USING (cell)) GROUP BY 1, 2) GROUP BY 1),
+          n AS (SELECT cell, c.label FROM u CROSS JOIN c QUALIFY row_number() OVER (PARTITION BY cell ORDER BY array_distance(v::DOUBLE[64], centre)) = 1)
+        SELECT n.cell, n.label AS groups FROM n LEFT JOIN l USING (cell) WHERE l.label IS NULL OR l.label <> n.label
+    """,
     "p9_found": f"WITH {form_sql.passages()} SELECT doc_id, item_id FROM passage",
     "p9_leaks": f"WITH {form_sql.passages()} SELECT doc_id, item_id, words, at_word FROM passage",
     "p9_clean": f"WITH {form_sql.passages()} SELECT doc_id, text, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM passage)",
