@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import small_table, stored
 
 #: Rows of one posting list that are worked on together; longer lists are split into blocks, each pair of which meets.
 LIST_ROWS = 8192
@@ -155,7 +155,7 @@ def _deepened(postings: DataFrame, dim: int, post: int, probe: int) -> tuple[Dat
         deep = [(x, n, min(MOST_SUB, -(-n // SUB_ROWS)), -(-n // LIST_ROWS)) for x, n in sizes.items() if n > SPLIT_ROWS]
         if not deep or level == LEVELS:
             break
-        table = spark.createDataFrame(deep, "list BIGINT, rows BIGINT, subs INT, blocks INT")
+        table = small_table(spark, **dict(zip(("list", "rows", "subs", "blocks"), map(list, zip(*deep)))))
         members = postings.join(table, "list")
         chosen = F.col("held") & (F.pmod(F.xxhash64("rep", "list"), "rows") < F.col("subs"))
         pivots = members.where(chosen).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, "block", F.lit(True).alias("pivot"))
@@ -231,9 +231,9 @@ def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lea
     postings = posted.select("rep", "v", "asked", "perm", F.posexplode("lists").alias("place", "list"))
     postings = postings.withColumns({"asked": F.col("asked") & (F.col("place") < probe), "held": held}).where("asked OR held").drop("place")
     postings, sizes = _deepened(postings.withColumn("list", F.col("list").cast("bigint")), dim, post, probe)
-    long = [(x, -(-n // LIST_ROWS)) for x, n in sizes.items()]
-    if long:
-        postings = postings.join(spark.createDataFrame(long, "list BIGINT, blocks INT"), "list", "left").fillna(1, ["blocks"])
+    if sizes:
+        blocks = small_table(spark, list=list(sizes), blocks=[-(-n // LIST_ROWS) for n in sizes.values()])
+        postings = postings.join(blocks, "list", "left").fillna(1, ["blocks"])
         postings = postings.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         postings = postings.select("rep", "v", "asked", "held", "perm", "list", "own", F.least("own", "with").alias("b0"), F.greatest("own", "with").alias("b1"))
     else:
