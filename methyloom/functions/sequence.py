@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_table
+
 # IUPAC nucleotide codes.
 IUPAC = {
     "A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "GC", "W": "AT", "K": "GT", "M": "AC",
@@ -27,7 +29,8 @@ def expand_pattern(pattern: str) -> list[str]:
 
 def pattern_table(spark: SparkSession, patterns: list[str]) -> DataFrame:
     """``pattern``, ``context``: as many rows as the patterns have concrete contexts."""
-    return spark.createDataFrame([(p, c) for p in dict.fromkeys(patterns) for c in expand_pattern(p)], "pattern STRING, context STRING")
+    rows = [(p, c) for p in dict.fromkeys(patterns) for c in expand_pattern(p)]
+    return small_table(spark, pattern=[p for p, _ in rows], context=[c for _, c in rows])
 
 
 def pattern_regex(pattern: str) -> str:

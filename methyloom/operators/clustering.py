@@ -5,6 +5,8 @@ Cells stay distributed; what the driver handles is as large as clusters, runs of
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .doublets import doublet_likelihood, simulate_doublets
-from .embed import Pca, capped_per_group, knn, normalised_confusion
+from .embed import Pca, capped_per_group, connected_components, knn, normalised_confusion
 from .matrix import posterior_frac
+from .ranking import global_rank
 
-#: Most signatures of repeated runs, rows of a layout and features of a kernel fit that the driver handles.
-MOST_SIGNATURES, MOST_ROWS, MOST_FEATURES = 10_000, 5_000, 2_000
+#: Most choices of runs of a consensus, rows of a layout and clusters of a side of an overlap graph; more raise.
+MOST_CHOICES, MOST_ROWS, MOST_CLUSTERS = 10_000, 5_000, 2_000
 
 
 def average_linkage(dist: np.ndarray) -> list[tuple[int, int, float, int]]:
@@ -107,8 +111,6 @@ def repeated_kmeans(vectors: DataFrame, ks: Sequence[int], seed: int = 0) -> Dat
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    from ..session import cut
-
     out = cut(vectors.select("id", "v", array_to_vector("v").alias("features")))
     columns = []
     for i, k in enumerate(ks):
@@ -120,27 +122,30 @@ def repeated_kmeans(vectors: DataFrame, ks: Sequence[int], seed: int = 0) -> Dat
 
 def consensus(runs: DataFrame, rate: float = 0.7, min_size: int = 10) -> DataFrame:
     """id, v, cluster: cells with the same clusters in all runs form a signature; signatures that agree in at least
-    ``rate`` of the runs are one cluster; cells of clusters under ``min_size`` get -1. At most MOST_SIGNATURES
-    signatures, the largest, found clusters; the rest is -1."""
-    sizes = runs.groupBy("runs").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "runs").limit(MOST_SIGNATURES).collect()
-    sig, n = np.array([r.runs for r in sizes]), np.array([r.n for r in sizes])
-    parent = list(range(len(sig)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i in range(len(sig)):
-        for j in np.flatnonzero((sig[:i] == sig[i]).mean(1) >= rate) if i else []:
-            a, b = find(i), find(int(j))
-            parent[max(a, b)] = min(a, b)
-    root = np.array([find(i) for i in range(len(sig))])
-    total = {r: int(n[root == r].sum()) for r in set(root.tolist())}
-    order = {r: i for i, r in enumerate(sorted((r for r in total if total[r] >= min_size), key=lambda r: (-total[r], r)))}
-    table = runs.sparkSession.createDataFrame([([int(x) for x in s], order.get(int(r), -1)) for s, r in zip(sig, root)], "runs ARRAY<INT>, cluster INT")
-    return runs.join(table, "runs", "left").select("id", "v", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    ``rate`` of the runs are linked, and linked ones are one cluster, however many there are; clusters are numbered by
+    size, cells of those under ``min_size`` get -1.
+
+    Two signatures agree in m runs if they are equal on one of the choices of m runs. All signatures with the same
+    clusters on a choice agree, so each is linked with the least of them: links are as many as signatures times choices,
+    and the clusters are the connected components.
+    """
+    first = runs.select(F.size("runs").alias("n")).first()
+    if first is None:
+        return runs.select("id", "v", F.lit(-1).alias("cluster"))
+    m = max(1, math.ceil(rate * first.n - 1e-9))
+    choices = list(itertools.combinations(range(first.n), m))
+    if len(choices) > MOST_CHOICES:
+        raise ValueError(f"{len(choices)} choices of {m} of {first.n} runs")
+    name = F.array_join(F.col("runs").cast("array<string>"), ",")
+    signatures = cut(runs.groupBy(name.alias("a")).agg(F.count("*").alias("n"), F.first("runs").alias("runs")))
+    keys = F.array(*[F.concat_ws(",", F.lit(f"{i}:"), *[F.col("runs")[j].cast("string") for j in c]) for i, c in enumerate(choices)])
+    keyed = signatures.select("a", F.explode(keys).alias("key"))
+    edges = keyed.join(keyed.groupBy("key").agg(F.min("a").alias("b")), "key").select("a", "b").distinct()
+    component = connected_components(edges)
+    sized = signatures.join(component.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") >= min_size)
+    number = global_rank(sized, None, [F.desc("n"), F.col("component")], "cluster").select("component", F.col("cluster").cast("int").alias("cluster"))
+    table = component.join(number, "component").select(F.col("id").alias("__s"), "cluster")
+    return runs.withColumn("__s", name).join(table, "__s", "left").select("id", "v", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def supervised(cells: DataFrame, max_train: int = 500, seed: int = 0) -> tuple[DataFrame, DataFrame, float]:
@@ -162,19 +167,16 @@ def supervised(cells: DataFrame, max_train: int = 500, seed: int = 0) -> tuple[D
     return done, normalised_confusion(test, "cluster", "predicted"), 1.0 if accuracy is None else float(accuracy)
 
 
-def consensus_clustering(vectors: DataFrame, ks: Sequence[int] = (8, 12, 16, 20), rate: float = 0.7, min_size: int = 10, target: float = 0.95, seed: int = 0, rounds: int = 10) -> DataFrame:
+def consensus_clustering(vectors: DataFrame, ks: Sequence[int] = (8, 12, 16, 20), rate: float = 0.7, min_size: int = 10, target: float = 0.95, seed: int = 0) -> DataFrame:
     """id, cluster: consensus of repeated k-means; clusters that a classifier confuses most are merged until it reaches
-    ``target`` accuracy on cells it was not trained on."""
-    from ..session import cut
-
+    ``target`` accuracy on cells it was not trained on. A pass merges two clusters, so it ends with one at the latest."""
     cells = cut(consensus(repeated_kmeans(vectors, ks, seed), rate, min_size))
-    for _ in range(rounds):
+    while True:
         done, confused, accuracy = supervised(cells, seed=seed)
         worst = confused.orderBy(F.desc("r2"), "a", "b").limit(1).collect() if accuracy < target else []
         if not worst:
             return done.select("id", "cluster")
         cells = cells.withColumn("cluster", F.when(F.col("cluster") == worst[0].b, worst[0].a).otherwise(F.col("cluster")))
-    return done.select("id", "cluster")
 
 
 def communities(weights: np.ndarray, resolution: float = 1.0, seed: int = 0) -> tuple[np.ndarray, float]:
@@ -218,7 +220,10 @@ def overlap_communities(overlaps: DataFrame, least: float = 0.1, most: float = 0
     """side, name, group of the clusters of two datasets from their overlap scores (left, right, overlap; one row per
     pair of clusters): scores under ``least`` are no link, those above ``most`` count as it. Clusters without a link
     have group -1."""
-    t = overlaps.limit(MOST_SIGNATURES**2).toPandas()
+    most = MOST_CLUSTERS**2
+    t = overlaps.limit(most + 1).toPandas()
+    if len(t) > most:
+        raise ValueError(f"more than {most} pairs of clusters")
     left, right = sorted(set(t["left"])), sorted(set(t["right"]))
     m = t.pivot_table(index="left", columns="right", values="overlap", fill_value=0.0).reindex(index=left, columns=right, fill_value=0.0).to_numpy()
     m = np.where(m < least, 0, np.minimum(m, most))
@@ -231,20 +236,28 @@ def overlap_communities(overlaps: DataFrame, least: float = 0.1, most: float = 0
     return pd.DataFrame({"side": ["left"] * len(left) + ["right"] * len(right), "name": left + right, "group": group}), q
 
 
-def scrublet(counts: DataFrame, components: int = 10, ratio: float = 2.0, expected: float = 0.1, k: int | None = None, seed: int = 0) -> DataFrame:
+def sketched(values: DataFrame, buckets: int) -> DataFrame:
+    """id, v: each row's sparse values (id, region, value; absent ones 0) as ``buckets`` sums: every region counts in the
+    bucket and with the sign that its hash gives. Inner products are kept in expectation, however many regions there are."""
+    place, sign = F.pmod(F.xxhash64("region"), F.lit(buckets)).cast("int"), F.when(F.pmod(F.xxhash64("region", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    sums = values.groupBy("id", place.alias("i")).agg(F.sum(F.col("value") * sign).alias("x"))
+    packed = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
+    return packed.select("id", F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+
+
+def scrublet(counts: DataFrame, components: int = 10, ratio: float = 2.0, expected: float = 0.1, k: int | None = None, seed: int = 0, buckets: int = 1024) -> DataFrame:
     """cell, n_sim, score: share of simulated doublets among each cell's neighbours as the likelihood of a doublet.
-    ``counts``: cell, region, mc_type, mc, cov of one kind of count. Features are posterior fractions by region, reduced
-    by principal components fitted on the observed cells; neighbours are exact, in blocks of queries."""
+    ``counts``: cell, region, mc_type, mc, cov of one kind of count. Features are posterior fractions of all regions, as
+    a signed sketch of ``buckets`` sums (see :func:`sketched`), reduced by principal components fitted on the observed
+    cells; neighbours are exact, in blocks of queries."""
     observed = counts.select("cell").distinct()
     n = observed.count()
     k = k or max(3, int(round(0.5 * np.sqrt(max(n, 1)))))
     both = counts.select("cell", "region", "mc_type", "mc", "cov").unionByName(simulate_doublets(counts, ratio, seed))
     frac = posterior_frac(both).where("frac IS NOT NULL")
-    names = [r.region for r in counts.groupBy("region").agg(F.sum("cov").alias("c")).orderBy(F.desc("c"), "region").limit(MOST_FEATURES).collect()]
-    at = F.map_from_entries(F.collect_list(F.struct("region", "frac")))
-    rows = frac.groupBy(F.col("cell").alias("id")).agg(at.alias("m")).select("id", F.transform(F.array(*[F.lit(x) for x in names]), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(1.0))).alias("v"))
+    rows = sketched(frac.select(F.col("cell").alias("id"), "region", (F.col("frac") - 1).alias("value")), buckets)
     real = F.col("id").startswith("sim_")
-    reduced = Pca(rows.where(~real), len(names), min(components, len(names))).transform(rows)
+    reduced = cut(Pca(rows.where(~real), buckets, min(components, buckets)).transform(rows))
     k_adj = int(round(k * (1 + ratio)))
     near = knn(reduced.where(~real), reduced, k_adj)
     share = near.groupBy("id").agg(F.count_if(F.col("other").startswith("sim_")).alias("n_sim"), F.count("*").alias("n"))
@@ -252,34 +265,51 @@ def scrublet(counts: DataFrame, components: int = 10, ratio: float = 2.0, expect
     return share.join(scored, "id").select(F.col("id").alias("cell"), "n_sim", "score")
 
 
-def kernel_dispersion(features: DataFrame, n_top: int = 5000, ridge: float = 0.1) -> DataFrame:
-    """region, residual, feature_select: log2 dispersion less its smooth fit on log2 mean and log2 cov (kernel ridge
-    regression with a Gaussian kernel on at most MOST_FEATURES features, by hash), and the ``n_top`` largest residuals
-    (ties by region). ``features``: region, mean, cov, dispersion, all above 0."""
+def kernel_dispersion(features: DataFrame, n_top: int = 5000, ridge: float = 0.1, waves: int = 256) -> DataFrame:
+    """region, residual, feature_select: log2 dispersion less its smooth fit on log2 mean and log2 cov, and the ``n_top``
+    largest residuals (ties by region). ``features``: region, mean, cov, dispersion, all above 0.
+
+    The fit is kernel ridge regression with a Gaussian kernel over all regions: the kernel is the product of ``waves``
+    seeded cosine features, whose sums are added up in the tasks."""
     f = features.where("mean > 0 AND cov > 0 AND dispersion > 0").select("region", F.log2("mean").alias("m"), F.log2("cov").alias("c"), F.log2("dispersion").alias("d"))
-    t = f.orderBy(F.xxhash64("region"), "region").limit(MOST_FEATURES).toPandas()
-    if not len(t):
+    s = f.agg(F.count("*").alias("n"), *[g(x).alias(f"{k}{x}") for x in "mcd" for k, g in (("a", F.avg), ("s", F.stddev_pop))]).first()
+    if not s.n:
         return f.select("region", F.lit(None).cast("double").alias("residual"), F.lit(False).alias("feature_select"))
-    x = t[["m", "c"]].to_numpy()
-    mean, sd = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
-    z = (x - mean) / sd
-    kernel = lambda a, b: np.exp(-0.5 * ((a[:, None] - b[None]) ** 2).sum(2))
-    base = float(t["d"].mean())
-    alpha = np.linalg.solve(kernel(z, z) + ridge * np.eye(len(z)), t["d"].to_numpy() - base)
+    mean, sd, base = np.array([s.am, s.ac]), np.array([s.sm or 1.0, s.sc or 1.0]), float(s.ad)
+    rng = np.random.default_rng(0)
+    turn, shift = rng.normal(size=(2, waves)), rng.uniform(0, 2 * np.pi, waves)
+
+    def wave(m: pa.Array, c: pa.Array) -> np.ndarray:
+        z = (np.stack([m.to_numpy(zero_copy_only=False), c.to_numpy(zero_copy_only=False)], 1) - mean) / sd
+        return np.sqrt(2 / waves) * np.cos(z @ turn + shift)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(waves * (waves + 1))
+        for b in batches:
+            if b.num_rows:
+                x = wave(b.column(0), b.column(1))
+                total += np.r_[(x.T @ x).ravel(), x.T @ (b.column(2).to_numpy(zero_copy_only=False) - base)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "s"])
+
+    total = np.zeros(waves * (waves + 1))
+    for r in f.select("m", "c", "d").mapInArrow(sums, "i INT, s DOUBLE").groupBy("i").agg(F.sum("s").alias("s")).collect():
+        total[r.i] = r.s
+    weight = np.linalg.solve(total[: waves * waves].reshape(waves, waves) + ridge * np.eye(waves), total[waves * waves :])
 
     @F.arrow_udf("double")
-    def fitted(m: pa.Array, c: pa.Array) -> pa.Array:
-        q = (np.stack([m.to_numpy(zero_copy_only=False), c.to_numpy(zero_copy_only=False)], 1) - mean) / sd
-        return pa.array(np.concatenate([kernel(q[i : i + 1000], z) @ alpha for i in range(0, len(q), 1000)] or [np.zeros(0)]) + base)
+    def fit(m: pa.Array, c: pa.Array) -> pa.Array:
+        return pa.array(wave(m, c) @ weight + base)
 
-    r = f.select("region", (F.col("d") - fitted("m", "c")).alias("residual"))
+    r = f.select("region", (F.col("d") - fit("m", "c")).alias("residual"))
     top = r.orderBy(F.desc("residual"), "region").limit(n_top).select("region", F.lit(True).alias("__t"))
     return r.join(top, "region", "left").select("region", "residual", F.coalesce("__t", F.lit(False)).alias("feature_select"))
 
 
 def tsne(vectors: DataFrame, perplexity: float = 30.0, steps: int = 300, seed: int = 0) -> pd.DataFrame:
-    """id, x, y: exact t-SNE of at most MOST_ROWS rows (by hash) on the driver, for a picture; not for whole tables."""
-    t = vectors.orderBy(F.xxhash64("id"), "id").limit(MOST_ROWS).toPandas()
+    """id, x, y: exact t-SNE on the driver, for a picture. More than MOST_ROWS rows raise: sample them first."""
+    t = vectors.orderBy("id").limit(MOST_ROWS + 1).toPandas()
+    if len(t) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows")
     x = np.array(t["v"].tolist(), float)
     n = len(x)
     if n < 3:
@@ -296,8 +326,7 @@ def tsne(vectors: DataFrame, perplexity: float = 30.0, steps: int = 300, seed: i
         beta = np.where(np.isinf(hi), beta * 2, (lo + hi) / 2)
     p = p / s[:, None]
     p = np.maximum((p + p.T) / (2 * n), 1e-12)
-    y = Pca(vectors.limit(MOST_ROWS), x.shape[1], 2).axes
-    y = (x - x.mean(0)) @ y
+    y = (x - x.mean(0)) @ np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:2].T
     y = y / max(y[:, 0].std(), 1e-12) * 1e-4
     speed = np.zeros_like(y)
     for i in range(steps):

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_path
+from ..session import new_path, small_table
 
 ENTRY = "STRUCT<file: STRING, at: BIGINT, size: BIGINT, crc: BIGINT, lines: BIGINT>"
 PACK = f"data BINARY, entries ARRAY<{ENTRY}>"
@@ -172,9 +172,9 @@ def join_files(files: DataFrame, kind: str = "lines", header: bytes | None = Non
     for part, n in sizes:
         if run and run + n > target_bytes:
             group, run = group + 1, 0
-        dealt.append((part, group))
+        dealt.append(group)
         run += n
-    table = files.sparkSession.createDataFrame(dealt, "part INT, pack INT")
+    table = small_table(files.sparkSession, part=[p for p, _ in sizes], pack=dealt)
     meet = small.join(table, "part").select("pack", "data", "entries", "part")
     merged = meet.repartition(min(group + 1, 1 << 14), "pack").sortWithinPartitions("pack", "part").drop("part").mapInArrow(_merge, PACK)
     return large.unionByName(_write(merged, path + "/merged"))

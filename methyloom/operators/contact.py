@@ -36,17 +36,24 @@ def zoomed(contacts: DataFrame, factor: int) -> DataFrame:
     return contacts.groupBy(*[c for c in ("sample", "chrom") if c in contacts.columns], F.floor(F.col("bin1") / factor).alias("bin1"), F.floor(F.col("bin2") / factor).alias("bin2")).agg(F.sum("value").alias("value"))
 
 
-def diagonal_filled(matrix: DataFrame, size: int = 4) -> DataFrame:
-    """``matrix`` (upper triangle) with each diagonal pixel replaced by the largest of the ``size`` pixels beside it."""
-    near = matrix.where((F.col("bin2") > F.col("bin1")) & (F.col("bin2") <= F.col("bin1") + size)).groupBy("chrom", "bin1").agg(F.max("value").alias("value"))
+def diagonal_filled(matrix: DataFrame, bins: DataFrame | None = None, size: int = 4) -> DataFrame:
+    """``matrix`` (upper triangle) with each diagonal pixel replaced by the largest of the ``size`` pixels after it, or, in
+    the last ``size`` + 1 bins of a chromosome, of the pixels from ``size`` + 1 to 2 bins before it. ``bins``: chrom, bins
+    (their number); without it a chromosome ends with its last pixel."""
+    if bins is None:
+        bins = matrix.groupBy("chrom").agg((F.max("bin2") + 1).alias("bins"))
+    sized = matrix.join(bins, "chrom")
+    after = sized.where((F.col("bin2") > F.col("bin1")) & (F.col("bin2") <= F.col("bin1") + size) & (F.col("bin1") + size + 1 < F.col("bins"))).select("chrom", "bin1", "value")
+    before = sized.where((F.col("bin1") >= F.col("bin2") - size - 1) & (F.col("bin1") <= F.col("bin2") - 2) & (F.col("bin2") + size + 1 >= F.col("bins"))).select("chrom", F.col("bin2").alias("bin1"), "value")
+    near = after.unionByName(before).groupBy("chrom", "bin1").agg(F.max("value").alias("value"))
     return matrix.where("bin1 <> bin2").unionByName(near.select("chrom", "bin1", F.col("bin1").alias("bin2"), "value"))
 
 
-def abc_scores(tss: DataFrame, enhancers: DataFrame, matrix: DataFrame, bin_size: int, max_dist: int = 5_000_000, cutoff: float = 0.02) -> DataFrame:
+def abc_scores(tss: DataFrame, enhancers: DataFrame, matrix: DataFrame, bin_size: int, max_dist: int = 5_000_000, cutoff: float = 0.02, bins: DataFrame | None = None) -> DataFrame:
     """enhancer, tss, abc: activity times contact of an enhancer over the sum for its gene, above ``cutoff``. ``tss``:
     tss, chrom, pos; ``enhancers``: enhancer, chrom, pos, activity. Contact pixels drive the join, so pairs without a
     contact are never made; the diagonal is filled from its neighbours."""
-    full = diagonal_filled(matrix)
+    full = diagonal_filled(matrix, bins)
     full = full.unionByName(full.where("bin1 <> bin2").select("chrom", F.col("bin2").alias("bin1"), F.col("bin1").alias("bin2"), "value")).where(F.abs(F.col("bin1") - F.col("bin2")) < max_dist // bin_size)
     t = tss.select("tss", "chrom", F.floor(F.col("pos") / bin_size).alias("bin1"))
     e = enhancers.select("enhancer", "chrom", "activity", F.floor(F.col("pos") / bin_size).alias("bin2"))

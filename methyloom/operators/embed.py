@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import log_gamma
+from ..schema import few_values
 from .ranking import global_rank
 
 #: Query vectors that are compared with all rows at once.
@@ -107,26 +108,46 @@ def lsi(tfidf: DataFrame, k: int, row: str = "cell", col: str = "region", value:
     return u.join(rows, "i").select(row, "v"), list(svd.s)
 
 
+class Gram:
+    """A dataset's standardisation and the axes and lengths of its features' Gram matrix, from one pass."""
+
+    def __init__(self, vectors: DataFrame, dim: int):
+        n, s, q = moments(vectors, dim)
+        self.mean = s / max(n, 1)
+        cov = q - n * np.outer(self.mean, self.mean)
+        self.scale = np.sqrt(np.maximum(np.diag(cov) / max(n, 1), 1e-12))
+        value, self.axes = np.linalg.eigh(cov / np.outer(self.scale, self.scale))
+        self.length = np.sqrt(np.maximum(value, 0))
+
+
+def canonical(x: Gram, y: Gram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Singular vectors and values of X Y', from the two Gram matrices, never forming the cells by cells product."""
+    u, s, vt = np.linalg.svd((x.axes * x.length).T @ (y.axes * y.length))
+    return u, s, vt.T
+
+
 def cca(x: DataFrame, y: DataFrame, dim: int, k: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Canonical vectors of two datasets over the same features: singular vectors of X Y', from the two Gram matrices
-    (features squared), never forming the cells by cells product. Gives both datasets' ``id``, ``v`` and the values."""
-    out, grams = [], []
-    for d in (x, y):
-        n, s, q = moments(d, dim)
-        mean = s / max(n, 1)
-        cov = q - n * np.outer(mean, mean)
-        sd = np.sqrt(np.maximum(np.diag(cov) / max(n, 1), 1e-12))
-        value, axes = np.linalg.eigh(cov / np.outer(sd, sd))
-        grams.append((mean, sd, axes, np.sqrt(np.maximum(value, 0))))
-    (_, _, ax, rx), (_, _, ay, ry) = grams
-    u, s, vt = np.linalg.svd((ax * rx).T @ (ay * ry))
-    for d, (mean, sd, a, r), side in zip((x, y), grams, (u, vt.T)):
+    """Canonical vectors of two datasets over the same features: both datasets' ``id``, ``v`` and the values."""
+    grams, out = (Gram(x, dim), Gram(y, dim)), []
+    u, s, v = canonical(*grams)
+    for d, g, side in zip((x, y), grams, (u, v)):
         p = Pca.__new__(Pca)
-        p.mean, p.scale, p.axes = mean, sd, a @ (side / np.where(r > 1e-9, r, np.inf)[:, None])[:, :k]
+        p.mean, p.scale, p.axes = g.mean, g.scale, g.axes @ (side / np.where(g.length > 1e-9, g.length, np.inf)[:, None])[:, :k]
         out.append(p.transform(d))
     return out[0], out[1], s[:k]
 
 
+def top_features(axes: np.ndarray, per_axis: int) -> list[int]:
+    """The features with the ``per_axis`` largest absolute loadings of each axis, each once, in order."""
+    return sorted({int(i) for axis in np.abs(axes).T for i in np.argsort(-axis, kind="stable")[:per_axis]})
+
+
+def common_features(left: DataFrame, right: DataFrame, feature: str = "region") -> tuple[DataFrame, DataFrame]:
+    """The rows of two datasets whose feature both have."""
+    a, b = (d.select(feature).distinct() for d in (left, right))
+    return left.join(b, feature, "left_semi"), right.join(a, feature, "left_semi")
+
+
 def knn(queries: DataFrame, data: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """id, other, rank (from 1), dist: for each query its ``k`` nearest other rows of ``data``, ties by id. Exact: queries
     go to the tasks in blocks of BLOCK, and each task keeps ``k`` per query of what it scans."""
@@ -249,17 +270,29 @@ def gamma_tail(a: float, x: np.ndarray) -> np.ndarray:
 
 def kbet(neighbours: DataFrame, datasets: DataFrame, alpha: float = 0.05) -> DataFrame:
     """accept_rate: share of cells whose neighbours' datasets agree with the overall shares (chi-square test)."""
-    share = {r.dataset: r.n for r in datasets.groupBy("dataset").agg(F.count("*").alias("n")).limit(10_000).collect()}
-    total = sum(share.values())
-    j = neighbours.join(datasets.select(F.col("id").alias("other"), "dataset"), "other").groupBy("id").agg(F.count("*").alias("k"), *[F.count_if(F.col("dataset") == d).alias(f"d{i}") for i, d in enumerate(share)])
-    stat = sum((F.col(f"d{i}") - F.col("k") * (n / total)) ** 2 / (F.col("k") * (n / total)) for i, n in enumerate(share.values()))
-    df = max(len(share) - 1, 1)
+    total = datasets.where("dataset IS NOT NULL").agg(F.count("*").alias("total"), F.count_distinct("dataset").alias("sets"))
+    share = datasets.where("dataset IS NOT NULL").groupBy("dataset").agg(F.count("*").alias("n")).crossJoin(total).select("dataset", (F.col("n") / F.col("total")).alias("share"), "sets")
+    seen = neighbours.join(datasets.select(F.col("id").alias("other"), "dataset"), "other").groupBy("id", "dataset").agg(F.count("*").alias("seen")).join(share, "dataset")
+    # datasets without a neighbour are in the sum too: that of (seen - k share)^2 / (k share) is that of seen^2 / (k share) less k
+    k = F.sum("seen")
+    stat = seen.groupBy("id").agg(F.greatest(F.sum(F.col("seen") * F.col("seen") / F.col("share")) / k - k, F.lit(0.0)).alias("x"), F.max(F.greatest(F.col("sets") - 1, F.lit(1))).cast("double").alias("df"))
 
     @F.arrow_udf("double")
-    def tail(x: pa.Array) -> pa.Array:
-        return pa.array(gamma_tail(df / 2, x.to_numpy(zero_copy_only=False) / 2))
+    def tail(x: pa.Array, df: pa.Array) -> pa.Array:
+        v, out = x.to_numpy(zero_copy_only=False), np.ones(len(x))
+        free = df.to_numpy(zero_copy_only=False)
+        for d in np.unique(free):
+            out[free == d] = gamma_tail(d / 2, v[free == d] / 2)
+        return pa.array(out)
+
+    return stat.select(tail("x", "df").alias("p")).agg(F.avg((F.col("p") >= alpha).cast("double")).alias("accept_rate"))
+
 
-    return j.select(tail(stat).alias("p")).agg(F.avg((F.col("p") >= alpha).cast("double")).alias("accept_rate"))
+def plate_pivot(labels: DataFrame, row: str, column: str, aggregate: Column | None = None) -> DataFrame:
+    """One row per ``row`` and one column per value of ``column`` (few: see :func:`few_values`), which holds ``aggregate``
+    of their rows (the number of rows unless told); 0 where there are none."""
+    names = few_values(labels, column, 10_000)
+    return labels.groupBy(row).pivot(column, names).agg(aggregate if aggregate is not None else F.count(F.lit(1))).fillna(0)
 
 
 def confusion(labels: DataFrame, a: str, b: str) -> DataFrame:
@@ -327,14 +360,14 @@ def normalised_confusion(labels: DataFrame, true: str, predicted: str) -> DataFr
     return j.select(F.least(true, predicted).alias("a"), F.greatest(true, predicted).alias("b"), "n", r1.alias("r1"), r2.alias("r2")).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("r1").alias("r1"), F.max("r2").alias("r2"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """id, component (its least id) of the graph of edges (a, b): least labels spread along edges and are then shortened,
     until none changes; each round's labels are kept in the shared folder."""
     from ..session import cut
 
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
         step = labels.join(near, "a", "left").select("a", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old"))
         jump = step.join(step.select(F.col("a").alias("c"), F.col("c").alias("cc")), "c", "left").select("a", F.least("c", F.coalesce("cc", "c")).alias("c"), "old")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bh_within, fisher_exact, normal_tail
-from ..session import cut
+from ..schema import few_values
+from ..session import cut, small_table
 
 
 def rank_sums(values: DataFrame, by: Sequence[str], label: str = "inside", value: str = "value") -> DataFrame:
@@ -41,8 +43,9 @@ def pairwise_dmg(values: DataFrame, cells: DataFrame, max_cells: int = 1000, adj
     ``max_cells`` cells. Values are counted per cluster and value before pairs are made, so what pairs multiply is
     counts, not cells."""
     use = values.join(_capped(cells, max_cells, seed), "cell").groupBy("region", "cluster", "value").agg(F.count("*").alias("n"))
-    names = [r.cluster for r in cells.select("cluster").distinct().orderBy("cluster").limit(10_000).collect()]
-    pairs = cells.sparkSession.createDataFrame([(a, b, c) for i, a in enumerate(names) for b in names[i + 1 :] for c in (a, b)], "l STRING, r STRING, cluster STRING")
+    names = few_values(cells, "cluster", 10_000)
+    both = [(a, b, c) for i, a in enumerate(names) for b in names[i + 1 :] for c in (a, b)]
+    pairs = small_table(cells.sparkSession, **{k: pa.array([x[i] for x in both], pa.string()) for i, k in enumerate(("l", "r", "cluster"))})
     v = use.join(pairs, "cluster").withColumn("inside", F.col("cluster") == F.col("l"))
     by = ["region", "l", "r"]
     w = Window.partitionBy(*by).orderBy("value")
@@ -121,10 +124,10 @@ def enriched_features(values: DataFrame, cells: DataFrame, top_n: int = 200, alp
     labels (p = share of the cluster's null scores that are larger, q by Benjamini-Hochberg in the cluster), the
     ``top_n`` of each cluster by enrichment with q up to ``alpha``, ties by region."""
     real = cluster_enrichment(values, cells)
-    # labels are dealt again to the cells in the order of a seeded hash
+    # labels are dealt again to the cells in the order of a seeded digest
     from .ranking import global_rank
 
-    dealt = global_rank(cells.select("cell", F.xxhash64(F.lit(seed), "cell").alias("h")), None, [F.col("h"), F.col("cell")]).select("cell", "rank")
+    dealt = global_rank(cells.select("cell", F.md5(F.concat(F.lit(f"{seed}:"), "cell")).alias("h")), None, [F.col("h"), F.col("cell")]).select("cell", "rank")
     labels = global_rank(cells.select("cluster", "cell"), None, [F.col("cell")]).select("cluster", "rank")
     null = cluster_enrichment(values, dealt.join(labels, "rank").select("cell", "cluster")).select("cluster", F.col("enrichment").alias("e"), F.lit(1).alias("shuffled"))
     both = real.select("cluster", "region", F.col("enrichment").alias("e"), F.lit(0).alias("shuffled")).unionByName(null.withColumn("region", F.lit(None).cast("string")))
@@ -186,6 +189,7 @@ def pair_correlations(a: DataFrame, b: DataFrame, pairs: DataFrame, a_id: str, b
 
 
 def _ranked(x: DataFrame, ident: str, average: bool) -> DataFrame:
+    x = x.where("value IS NOT NULL")
     w = Window.partitionBy(ident).orderBy("value", *([] if average else ["sample"]))
     if not average:
         return x.withColumn("value", F.row_number().over(w).cast("double"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small_table
 
 
 def global_rank(df: DataFrame, by: str | None, order: Sequence[Column], out: str = "rank") -> DataFrame:
@@ -28,7 +28,8 @@ def global_rank(df: DataFrame, by: str | None, order: Sequence[Column], out: str
         seen[g] = seen.get(g, 0) + n
     if not shift:
         return held.withColumn(out, F.lit(0).cast("long"))
-    table = df.sparkSession.createDataFrame(shift, "__p INT, __g STRING, __shift BIGINT")
+    p, g, by_ = zip(*shift)
+    table = small_table(df.sparkSession, __p=list(p), __g=list(g), __shift=list(by_))
     return marked.join(table, ["__p", "__g"]).withColumn(out, F.col("__r") + F.col("__shift")).drop("__p", "__g", "__r", "__shift")
 
 

@@ -10,7 +10,8 @@ from ..operators import enhancers as eh
 from ..operators import genes as ge
 from ..operators import motifs as mo
 from ..operators.rangejoin import genome_bin_ids
-from ..schema import label_key
+from ..schema import few_values, label_key
+from ..session import cut
 from .base import CLUSTERS, COUNTS, REGIONS, SPELL, chrom_sizes, clusters, counts, regions, table
 
 QUERIES, SQL = {}, {}
@@ -98,9 +99,12 @@ def tight_range(spark, sf):
     return em.tight_range(table(spark, sf, "adata"), "mCGFrac", 0.9).select(F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
 
 
-@query(f"""WITH {_A} SELECT g, count(*) FILTER (d = 'batch_a') AS batch_a, count(*) FILTER (d = 'batch_b') AS batch_b FROM l GROUP BY 1""")
+@query(f"""WITH {_A}, n AS (SELECT g, d, count(*) AS n FROM l GROUP BY 1, 2) SELECT g, d, coalesce(n, 0) AS n FROM (SELECT DISTINCT g FROM l) CROSS JOIN (SELECT DISTINCT d FROM l) LEFT JOIN n USING (g, d)""")
 def plate_pivot(spark, sf):
-    return labels(spark, sf).groupBy("g").pivot("d", ["batch_a", "batch_b"]).agg(F.count(F.lit(1))).fillna(0)
+    """All datasets, written out again as rows so that SQL needs no list of them."""
+    wide = em.plate_pivot(labels(spark, sf), "g", "d")
+    names = [c for c in wide.columns if c != "g"]
+    return wide.select("g", F.inline(F.array(*[F.struct(F.lit(c).alias("d"), F.col(f"`{c}`").alias("n")) for c in names])))
 
 
 def vectors(spark, sf):
@@ -137,9 +141,11 @@ def lsi(spark, sf):
 
 @query()
 def cca(spark, sf):
-    v = vectors(spark, sf)
-    x, y, s = em.cca(v.where("dataset = 'batch_a'"), v.where("dataset = 'batch_b'"), 64, 8)
-    return spark.createDataFrame([(i, round(float(a), 4)) for i, a in enumerate(s)], "i INT, value DOUBLE")
+    """Every pair of datasets; a dataset's sums are made once."""
+    v = cut(vectors(spark, sf))
+    grams = {d: em.Gram(v.where(F.col("dataset") == d), 64) for d in few_values(v, "dataset")}
+    rows = [(a, b, i, round(float(s), 4)) for a in grams for b in grams if a < b for i, s in enumerate(em.canonical(grams[a], grams[b])[1][:8])]
+    return spark.createDataFrame(rows, "a STRING, b STRING, i INT, value DOUBLE")
 
 
 @query("""WITH e AS (SELECT vec_id, embedding FROM embeddings), p AS (SELECT a.vec_id AS id, b.vec_id AS other, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
@@ -166,13 +172,25 @@ def mutual_neighbours(spark, sf):
     return em.mutual_neighbours(g12, g21, 5)
 
 
-@query()
+_G = """e AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id % 2 AS h, label, embedding::DOUBLE[] AS v FROM embeddings),
+  g AS (SELECT a.id, a.h, b.id AS other, b.h AS oh, row_number() OVER (PARTITION BY a.id, b.h ORDER BY list_distance(a.v, b.v), b.id) AS k FROM e a JOIN e b ON a.id <> b.id),
+  m AS (SELECT x.id AS x1, x.other AS x2 FROM g x JOIN g y ON x.id = y.other AND x.other = y.id WHERE x.h = 0 AND x.oh = 1 AND x.k <= 5 AND y.k <= 5),
+  t AS (SELECT id, list(oh || ':' || other) AS near FROM g WHERE k <= 30 GROUP BY 1),
+  r AS (SELECT x1, x2, len(list_intersect(a.near, b.near)) AS s FROM m JOIN t a ON a.id = x1 JOIN t b ON b.id = x2),
+  q AS (SELECT quantile_cont(s, 0.01) AS lo, quantile_cont(s, 0.9) AS hi FROM r),
+  s AS (SELECT x1, x2, least(1.0, greatest(0.0, coalesce((s - lo) / nullif(hi - lo, 0), 0.0))) AS score FROM r, q)"""
+
+
+@query(f"WITH {_G} SELECT x1, x2, round(score, 6) AS score FROM s")
 def anchor_scores(spark, sf):
     _, _, g11, g12, g21, g22 = graphs(spark, sf)
     return em.score_anchors(em.mutual_neighbours(g12, g21, 5), g11, g12, g21, g22).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH {_G}, n AS (SELECT a.id, x1, score, list_distance(a.v, b.v) AS d FROM e a CROSS JOIN s JOIN e b ON b.id = x2 WHERE a.h = 1 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), x1 || chr(1) || x2) <= 20),
+  w AS (SELECT id, x1, 1 - exp(-(CASE WHEN max(d) OVER p = 0 THEN score ELSE (1 - d / max(d) OVER p) * score END) / 4) AS w FROM n WINDOW p AS (PARTITION BY id)),
+  y AS (SELECT w.id, CAST(e.label AS VARCHAR) AS label, sum(w) AS w FROM w JOIN e ON e.id = x1 GROUP BY 1, 2)
+  SELECT id, label, round(w / (sum(w) OVER (PARTITION BY id) + 1e-6), 6) AS score FROM y QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1""")
 def label_transfer(spark, sf):
     a, b, g11, g12, g21, g22 = graphs(spark, sf)
     anchors = em.score_anchors(em.mutual_neighbours(g12, g21, 5), g11, g12, g21, g22)
@@ -195,7 +213,20 @@ def alignment_score(spark, sf):
     return em.alignment(em.knn(e, e, 10), e.select("id", F.col("label").alias("dataset")), 10).withColumn("alignment", F.round("alignment", 6))
 
 
-@query()
+def _critical(df):
+    """The statistic of ``df`` degrees of freedom that chance exceeds with 5 %, by halving."""
+    lo, hi = 0.0, 200.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if em.gamma_tail(df / 2, [mid / 2])[0] > 0.05 else (lo, mid)
+    return lo
+
+
+@query(f"""WITH c(df, x) AS (VALUES {", ".join(f"({d}, {_critical(d)!r})" for d in range(1, 51))}), e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
+  p AS (SELECT a.id, b.label FROM e a JOIN e b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) <= 20),
+  h AS (SELECT label, count(*) / sum(count(*)) OVER () AS share, count(*) OVER () - 1 AS df FROM e GROUP BY 1),
+  o AS (SELECT id, label, count(*) AS n FROM p GROUP BY 1, 2), s AS (SELECT id, sum(n * n / share) / sum(n) - sum(n) AS x, max(df) AS df FROM o JOIN h USING (label) GROUP BY 1)
+  SELECT avg(CASE WHEN s.x <= c.x THEN 1.0 ELSE 0.0 END) AS accept_rate FROM s JOIN c USING (df)""")
 def kbet(spark, sf):
     e = em.usable(table(spark, sf, "embeddings"), "vec_id", "embedding", 64, "label")
     return em.kbet(em.knn(e, e, 20), e.select("id", F.col("label").alias("dataset")))
@@ -209,7 +240,8 @@ def ks_components(spark, sf):
     return em.ks_statistics(vectors(spark, sf), 8).select("i", F.round("d", 6).alias("d"))
 
 
-@query()
+@query("""WITH u AS (SELECT cell, min(lower(trim(groups))) AS label FROM adata WHERE cell IS NOT NULL AND len(X_pca) = 64 AND len(list_filter(X_pca, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(X_pca, lambda x: x <> 0)) > 0 GROUP BY 1),
+  r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY cell) - 1 AS k FROM u WHERE label IS NOT NULL) SELECT label || '::' || (k // 25) AS pseudo, count(*) AS n FROM r GROUP BY 1""")
 def pseudo_groups(spark, sf):
     return em.pseudo_groups(vectors(spark, sf).where("label IS NOT NULL"), "label").groupBy("pseudo").agg(F.count("*").alias("n"))
 
@@ -244,16 +276,19 @@ def zoom_contacts(spark, sf):
     return ct.zoomed(contacts(spark, sf), 10)
 
 
-@query(f"""WITH {_CT}, m AS (SELECT chrom, bin1, bin2, sum(value) AS value FROM c GROUP BY 1, 2, 3), d AS (SELECT chrom, bin1, max(value) AS value FROM m WHERE bin2 > bin1 AND bin2 <= bin1 + 4 GROUP BY 1, 2),
+@query(f"""WITH {_CT}, m AS (SELECT chrom, bin1, bin2, sum(value) AS value FROM c GROUP BY 1, 2, 3), z AS (SELECT spelt AS chrom, size // 100000 + 1 AS n FROM spell),
+  d AS (SELECT chrom, bin1, max(value) AS value FROM (SELECT m.chrom, bin1, value FROM m JOIN z USING (chrom) WHERE bin2 > bin1 AND bin2 <= bin1 + 4 AND bin1 + 5 < n
+    UNION ALL SELECT m.chrom, bin2, value FROM m JOIN z USING (chrom) WHERE bin1 >= bin2 - 5 AND bin1 <= bin2 - 2 AND bin2 + 5 >= n) GROUP BY 1, 2),
   f AS (SELECT * FROM m WHERE bin1 <> bin2 UNION ALL SELECT chrom, bin1, bin1, value FROM d), s AS (SELECT * FROM f UNION ALL SELECT chrom, bin2, bin1, value FROM f WHERE bin1 <> bin2),
-  t AS (SELECT region AS tss, chrom, start // 100000 AS bin1 FROM regions WHERE ends_with(region, '11')), e AS (SELECT region AS enhancer, chrom, ("end" - start) / 1000 AS activity, start // 100000 AS bin2 FROM regions WHERE ends_with(region, '7')),
+  t AS (SELECT region AS tss, chrom, start // 100000 AS bin1 FROM regions), e AS (SELECT region AS enhancer, chrom, ("end" - start) / 1000 AS activity, start // 100000 AS bin2 FROM regions),
   r AS (SELECT tss, enhancer, activity * value AS raw FROM s JOIN t USING (chrom, bin1) JOIN e USING (chrom, bin2) WHERE abs(bin1 - bin2) < 50)
   SELECT enhancer, tss, round(raw / (sum(raw) OVER (PARTITION BY tss) + 1e-9), 6) AS abc FROM r QUALIFY raw / (sum(raw) OVER (PARTITION BY tss) + 1e-9) > 0.02""")
 def abc_scores(spark, sf):
     r = regions(spark, sf)
-    tss = r.where("region LIKE '%11'").select(F.col("region").alias("tss"), "chrom", F.col("start").alias("pos"))
-    enh = r.where("region LIKE '%7'").select(F.col("region").alias("enhancer"), "chrom", F.col("start").alias("pos"), ((F.col("end") - F.col("start")) / 1000).alias("activity"))
-    return ct.abc_scores(tss, enh, ct.summed_matrix(contacts(spark, sf)), 100_000).withColumn("abc", F.round("abc", 6))
+    tss = r.select(F.col("region").alias("tss"), "chrom", F.col("start").alias("pos"))
+    enh = r.select(F.col("region").alias("enhancer"), "chrom", F.col("start").alias("pos"), ((F.col("end") - F.col("start")) / 1000).alias("activity"))
+    bins = chrom_sizes(spark, sf).select("chrom", (F.floor(F.col("size") / 100_000) + 1).alias("bins"))
+    return ct.abc_scores(tss, enh, ct.summed_matrix(contacts(spark, sf)), 100_000, bins=bins).withColumn("abc", F.round("abc", 6))
 
 
 @query("""WITH s AS (SELECT doc_id AS region, regexp_replace(upper(text), '[^ACGT]', 'N', 'g') AS seq FROM documents WHERE text IS NOT NULL),
@@ -281,9 +316,11 @@ def gene_ids_by_name(spark, sf):
     return ge.ids_by_name(annotation(spark, sf))
 
 
-@query(f"""WITH {SPELL}, {REGIONS} SELECT DISTINCT a.region AS gene_id FROM regions a JOIN regions b ON ends_with(b.region, '99') AND a.chrom = b.chrom AND a.start < b."end" + 1000 AND greatest(b.start - 1000, 0) < a."end" """)
+@query(f"""WITH {SPELL}, {REGIONS} SELECT DISTINCT a.region AS gene_id FROM regions a JOIN regions b ON b.sample = (SELECT min(sample) FROM bed) AND a.chrom = b.chrom AND a.start < b."end" + 1000 AND greatest(b.start - 1000, 0) < a."end" """)
 def subset_genes(spark, sf):
-    return ge.subset(annotation(spark, sf), regions(spark, sf).where("region LIKE '%99'"), "gene", 1000).select("gene_id")
+    """The genes near regions of the first sample."""
+    first = table(spark, sf, "bed").agg(F.min("sample")).first()[0]
+    return ge.subset(annotation(spark, sf), regions(spark, sf).where(F.col("sample").eqNullSafe(F.lit(first))), "gene", 1000).select("gene_id")
 
 
 @query(f"""WITH {COUNTS}, {CLUSTERS}, v AS (SELECT region, cluster AS sample, mc_type AS modality, sum(mc) / nullif(sum(cov), 0) AS value FROM counts JOIN clusters USING (cell) GROUP BY 1, 2, 3)

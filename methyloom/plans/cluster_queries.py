@@ -9,6 +9,7 @@ from ..operators import clustering as cl
 from ..operators import doublets as db
 from ..operators import embed as em
 from ..operators import matrix as mx
+from ..schema import few_values
 from .base import SITES, counts, sites
 from .cell_queries import labels, vectors
 
@@ -59,7 +60,8 @@ def em_vectors(spark, sf):
 
 def profiles(spark, sf):
     """Few rows: one per cluster label, as a frame of labels by components."""
-    c = em.centres(vectors(spark, sf)).orderBy("label").limit(1000).toPandas()
+    few_values(vectors(spark, sf), "label", 10_000)
+    c = em.centres(vectors(spark, sf)).orderBy("label").toPandas()
     import pandas as pd
 
     return pd.DataFrame(np.array(c["centre"].tolist(), float), index=c["label"])

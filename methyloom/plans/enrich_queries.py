@@ -84,9 +84,17 @@ def enrichment_score(spark, sf):
     return en.cluster_enrichment(fracs(spark, sf), clusters(spark, sf)).withColumn("enrichment", F.round("enrichment", 5))
 
 
-@query()
+@query(f"""WITH {_EN}, dealt AS (SELECT x.cell, y.cluster FROM (SELECT cell, row_number() OVER (ORDER BY md5('0:' || cell), cell) AS k FROM clusters) x JOIN (SELECT cluster, row_number() OVER (ORDER BY cell) AS k FROM clusters) y USING (k)),
+  tn AS (SELECT cluster, region, count(*) FILTER (value < 1) AS h, sum(value - 1) AS s FROM f JOIN dealt USING (cell) GROUP BY 1, 2),
+  g AS (SELECT 0 AS shuffled, z.*, w.*, coalesce(h, 0) AS h, coalesce(s, 0) AS s FROM z CROSS JOIN w LEFT JOIN t USING (cluster, region)
+    UNION ALL SELECT 1, z.*, w.*, coalesce(h, 0), coalesce(s, 0) FROM z CROSS JOIN w LEFT JOIN tn USING (cluster, region)),
+  e AS (SELECT shuffled, cluster, region, (h / n + 0.1) / ((HH - h) / (nn - n) + 0.1) * ((SS - s) / (nn - n) + 1.01) / (s / n + 1.01) AS e FROM g),
+  p AS (SELECT *, sum(shuffled) OVER (PARTITION BY cluster ORDER BY e DESC RANGE UNBOUNDED PRECEDING) / sum(shuffled) OVER (PARTITION BY cluster) AS p FROM e),
+  r AS (SELECT cluster, region, e, p, p * count(*) OVER (PARTITION BY cluster) / count(*) OVER (PARTITION BY cluster ORDER BY p) AS raw FROM p WHERE shuffled = 0),
+  q AS (SELECT *, least(1.0, min(raw) OVER (PARTITION BY cluster ORDER BY p DESC)) AS q, row_number() OVER (PARTITION BY cluster ORDER BY e DESC, region) AS rank FROM r)
+  SELECT cluster, region, round(e, 6) AS enrichment, round(p, 6) AS p_value, round(q, 6) AS q_value, CAST(rank AS INT) AS rank FROM q WHERE rank <= 200""")
 def cluster_enriched_features(spark, sf):
-    """Null scores come from labels dealt by a seeded hash."""
+    """Null scores come from labels dealt in the order of a seeded digest."""
     e = en.enriched_features(fracs(spark, sf), clusters(spark, sf), alpha=1.0)
     return e.withColumns({c: F.round(c, 6) for c in ("enrichment", "p_value", "q_value")})
 
@@ -117,7 +125,7 @@ def optimal_threshold(spark, sf):
 
 
 @query(f"""WITH {_D}, r AS (SELECT hyper_in AS motif, row_number() OVER (PARTITION BY hyper_in ORDER BY AUROC DESC, dmg_id) - 1 AS rank, hypo_in FROM d WHERE hyper_in IS NOT NULL),
-  a AS (SELECT motif, sum(CASE WHEN rank < 50 THEN 50 - rank ELSE 0 END) / (50 * count(*)) AS auc FROM r WHERE starts_with(hypo_in, 'c') GROUP BY 1)
+  a AS (SELECT motif, sum(CASE WHEN rank < 50 THEN 50 - rank ELSE 0 END) / (50 * count(*)) AS auc FROM r GROUP BY 1)
   SELECT motif, round(auc, 6) AS auc, round((auc - (SELECT avg(auc) FROM a)) / nullif((SELECT stddev_pop(auc) FROM a), 0), 5) AS nes FROM a WHERE (auc - (SELECT avg(auc) FROM a)) / nullif((SELECT stddev_pop(auc) FROM a), 0) >= 0.5""")
 def recovery_enrichment(spark, sf):
     from pyspark.sql import Window
@@ -125,7 +133,7 @@ def recovery_enrichment(spark, sf):
     real = F.col("AUROC").between(0, 1) & F.col("similarity").between(0, 1)
     d = table(spark, sf, "dmg_table").where(F.col("hypo_in").isNotNull() & real & F.col("hyper_in").isNotNull())
     r = d.select(F.col("hyper_in").alias("motif"), "hypo_in", (F.row_number().over(Window.partitionBy("hyper_in").orderBy(F.desc("AUROC"), "dmg_id")) - 1).alias("rank"))
-    e = en.recovery_enrichment(r.where("hypo_in LIKE 'c%'"), 10_000, 0.005, 0.5)
+    e = en.recovery_enrichment(r, 10_000, 0.005, 0.5)
     return e.select("motif", F.round("auc", 6).alias("auc"), F.round("nes", 5).alias("nes"))
 
 
@@ -156,12 +164,24 @@ def region_correlation(spark, sf):
     return en.pair_correlations(a, b, p, "a", "b").select("a", "b", "dist", F.round("corr", 5).alias("corr"))
 
 
-@query()
+def _spearman(name, right):
+    return f"""{name} AS (SELECT pr.a, pr.b, corr(x, y) AS c FROM pr JOIN ka ON ka.a = pr.a JOIN {right} kb ON kb.b = pr.b AND kb.sample = ka.sample GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_PS}, ka AS (SELECT a, sample, rank() OVER (PARTITION BY a ORDER BY x) + (count(*) OVER (PARTITION BY a, x) - 1) / 2 AS x FROM a WHERE x IS NOT NULL),
+  kr AS (SELECT b, sample, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2 AS y FROM b WHERE y IS NOT NULL),
+  nm AS (SELECT x.sample, y.sample AS other FROM (SELECT sample, row_number() OVER (ORDER BY sample) AS k FROM (SELECT DISTINCT sample FROM b)) x JOIN (SELECT sample, row_number() OVER (ORDER BY md5(sample)) AS k FROM (SELECT DISTINCT sample FROM b)) y USING (k)),
+  kn AS (SELECT b, other AS sample, y FROM kr JOIN nm USING (sample)), {_spearman("re", "kr")}, {_spearman("nu", "kn")},
+  lv AS (SELECT k, count(*) FILTER (t = 0) AS r, count(*) FILTER (t = 1) AS n FROM (SELECT 0 AS t, least(floor(-c * 100 + 1e-9), 80) AS k FROM re WHERE -c > 0.2 AND NOT isnan(c) UNION ALL SELECT 1, least(floor(-c * 100 + 1e-9), 80) FROM nu WHERE -c > 0.2 AND NOT isnan(c)) GROUP BY 1),
+  gr AS (SELECT i AS k, coalesce(r, 0) AS r, coalesce(n, 0) AS n FROM range(20, 81) t(i) LEFT JOIN lv ON lv.k = i),
+  dn AS (SELECT k, sum(r) OVER w AS r, (sum(n) OVER w / (SELECT count(c) FROM nu WHERE NOT isnan(c))) / nullif(sum(r) OVER w / (SELECT count(c) FROM re WHERE NOT isnan(c)), 0) AS fdr FROM gr WINDOW w AS (ORDER BY k DESC)),
+  bd AS (SELECT *, sum(CASE WHEN fdr >= 0.9 THEN 1 ELSE 0 END) OVER (ORDER BY k DESC) AS bad FROM dn)
+  SELECT k / 100 AS cutoff, fdr, CAST(r AS BIGINT) AS n FROM bd WHERE bad = 0 AND r > 0 ORDER BY k LIMIT 1""")
 def correlation_cutoff(spark, sf):
-    """Null pairs are those of other chromosomes' samples in hashed order."""
+    """Null pairs are those of samples dealt by a digest of their names."""
     p = near_regions(spark, sf)
     a, b = sample_fracs(spark, sf, "CGN").withColumnRenamed("region", "a"), sample_fracs(spark, sf, "CHN").withColumnRenamed("region", "b")
-    names = b.select("sample").distinct().withColumn("k", F.row_number().over(_order("sample"))).join(b.select("sample").distinct().select(F.col("sample").alias("other"), F.row_number().over(_order("h", F.xxhash64("sample"))).alias("k")), "k").drop("k")
+    names = b.select("sample").distinct().withColumn("k", F.row_number().over(_order("sample"))).join(b.select("sample").distinct().select(F.col("sample").alias("other"), F.row_number().over(_order("h", F.md5("sample"))).alias("k")), "k").drop("k")
     shuffled = b.join(names, "sample").drop("sample").withColumnRenamed("other", "sample")
     real, null = en.pair_correlations(a, b, p, "a", "b", "spearman"), en.pair_correlations(a, shuffled, p, "a", "b", "spearman")
     return en.correlation_cutoff(real, null, "-", 0.9)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..operators import matrix as mx
+from ..session import small_table
 from .base import CLUSTERS, COUNTS, REGIONS, SITES, SPELL, chrom_sizes, clusters, counts, regions, sites
 from .site_queries import CGN, CHN
 
@@ -59,7 +60,7 @@ def generate_dataset_regions(spark, sf):
 @query(f"""WITH {SITES}, {REGIONS}, {_RC} SELECT region, mc_type, CAST(coalesce(sum(mc), 0) AS BIGINT) AS mc, CAST(coalesce(sum(cov), 0) AS BIGINT) AS cov FROM
   (SELECT DISTINCT region FROM regions) CROSS JOIN (SELECT unnest(['CGN', 'CHN']) AS mc_type) LEFT JOIN rc USING (region, mc_type) GROUP BY 1, 2""")
 def region_totals_with_zeros(spark, sf):
-    types = spark.createDataFrame([("CGN",), ("CHN",)], "mc_type STRING")
+    types = small_table(spark, mc_type=["CGN", "CHN"])
     grid = regions(spark, sf).select("region").distinct().crossJoin(types)
     totals = region_counts(spark, sf).groupBy("region", "mc_type").agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))
     return grid.join(totals, ["region", "mc_type"], "left").fillna(0, ["mc", "cov"])

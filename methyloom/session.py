@@ -47,6 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A table of few rows that the driver holds, as the planner knows: it is broadcast while under the threshold."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table(columns))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, kept partition by partition in the shared folder."""
     _own_dir(df.sparkSession)
