@@ -120,6 +120,17 @@ class RegionSet:
             return rj.centred(r, chrom_sizes, length)
         return rj.slopped(r, chrom_sizes, slop) if slop is not None else r
 
+    def chunks(self, rows: int = 100_000):
+        """The regions in order of chrom and start, as pandas frames of ``rows`` rows; one partition at a time comes to the
+        driver."""
+        import itertools
+
+        import pandas as pd
+
+        it = self.regions.orderBy("chrom", "start", "region").toLocalIterator(prefetchPartitions=True)
+        while part := list(itertools.islice(it, rows)):
+            yield pd.DataFrame(part, columns=self.regions.columns)
+
     def without_blacklist(self, blacklist: DataFrame, fraction: float = 0.2) -> RegionSet:
         return RegionSet(rj.without_blacklist(self.regions, blacklist, fraction=fraction), self.annotations)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,32 @@ def bin_size_label(size: Column) -> Column:
     )
 
 
+def number_label(x: Column) -> Column:
+    """A number as a short text for axes and tables: up to two decimals between 0.01 and 1, whole from 1 to 100, else two
+    decimals and a power of ten; 0 as 0, null as null. Digits are rounded from the number's exact binary value, half to
+    even, which the JVM's formats do not do; equal numbers are formatted once a batch."""
+
+    def one(v: float) -> str:
+        if v == 0:
+            return "0"
+        if 0.01 < v < 1:
+            return f"{v:.2f}".rstrip("0")
+        return str(int(v)) if 1 <= v < 100 else re.sub(r"E([+-])0(?=\d)", r"E\1", f"{v:.2E}")
+
+    @F.arrow_udf("string")
+    def label(x: pa.Array) -> pa.Array:
+        coded = x.dictionary_encode()
+        return pa.array([one(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+    return label(x.cast("double"))
+
+
+def zoomed_range(low: Column, high: Column, scale: float) -> tuple[Column, Column]:
+    """The ends of a range ``scale`` times as wide about the same centre."""
+    more = (high - low) * (scale - 1) / 2
+    return low - more, high + more
+
+
 def truth_word(word: Column) -> Column:
     """Whether a word says yes; null for null."""
     return F.lower(F.trim(word)).isin("true", "t", "yes", "y", "1")

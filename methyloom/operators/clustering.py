@@ -148,8 +148,9 @@ def consensus(runs: DataFrame, rate: float = 0.7, min_size: int = 10) -> DataFra
     return runs.withColumn("__s", name).join(table, "__s", "left").select("id", "v", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def supervised(cells: DataFrame, max_train: int = 500, seed: int = 0) -> tuple[DataFrame, DataFrame, float]:
-    """Assigns the cells of cluster -1 by a random forest trained on at most ``max_train`` cells of each cluster; gives
+def supervised(cells: DataFrame, max_train: int = 500, seed: int = 0, classifier=None) -> tuple[DataFrame, DataFrame, float]:
+    """Assigns the cells of cluster -1 by a classifier (an estimator of Spark ML with ``features`` and ``cluster``; a random
+    forest unless given) trained on at most ``max_train`` cells of each cluster; gives
     all cells (id, v, cluster), the normalised confusions of the cells not trained on, and their accuracy."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
@@ -159,7 +160,8 @@ def supervised(cells: DataFrame, max_train: int = 500, seed: int = 0) -> tuple[D
     if train.select("cluster").distinct().count() < 2:
         return cells.withColumn("cluster", F.lit(0)), cells.sparkSession.createDataFrame([], "a INT, b INT, n BIGINT, r1 DOUBLE, r2 DOUBLE"), 1.0
     vec = lambda d: d.withColumn("features", array_to_vector("v"))
-    model = RandomForestClassifier(labelCol="cluster", numTrees=50, seed=seed).fit(vec(train).withColumn("cluster", F.col("cluster").cast("double")))
+    estimator = classifier if classifier is not None else RandomForestClassifier(labelCol="cluster", numTrees=50, seed=seed)
+    model = estimator.fit(vec(train).withColumn("cluster", F.col("cluster").cast("double")))
     predicted = model.transform(vec(cells)).select("id", "v", "cluster", F.col("prediction").cast("int").alias("predicted"))
     test = predicted.where("cluster >= 0").join(train.select("id"), "id", "left_anti")
     accuracy = test.agg(F.avg((F.col("cluster") == F.col("predicted")).cast("double"))).first()[0]
@@ -167,12 +169,12 @@ def supervised(cells: DataFrame, max_train: int = 500, seed: int = 0) -> tuple[D
     return done, normalised_confusion(test, "cluster", "predicted"), 1.0 if accuracy is None else float(accuracy)
 
 
-def consensus_clustering(vectors: DataFrame, ks: Sequence[int] = (8, 12, 16, 20), rate: float = 0.7, min_size: int = 10, target: float = 0.95, seed: int = 0) -> DataFrame:
+def consensus_clustering(vectors: DataFrame, ks: Sequence[int] = (8, 12, 16, 20), rate: float = 0.7, min_size: int = 10, target: float = 0.95, seed: int = 0, classifier=None) -> DataFrame:
     """id, cluster: consensus of repeated k-means; clusters that a classifier confuses most are merged until it reaches
     ``target`` accuracy on cells it was not trained on. A pass merges two clusters, so it ends with one at the latest."""
     cells = cut(consensus(repeated_kmeans(vectors, ks, seed), rate, min_size))
     while True:
-        done, confused, accuracy = supervised(cells, seed=seed)
+        done, confused, accuracy = supervised(cells, seed=seed, classifier=classifier)
         worst = confused.orderBy(F.desc("r2"), "a", "b").limit(1).collect() if accuracy < target else []
         if not worst:
             return done.select("id", "cluster")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,10 +43,11 @@ def goodness_of_fit(sites: DataFrame) -> DataFrame:
     return sites.select("chrom", "pos", d.alias("d"), n.alias("n"), all_.alias("m")).groupBy("chrom", "pos").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sqrt(F.sum("d") / 2 / F.max("n")).alias("s"))
 
 
-def permutation_p(table: np.ndarray, n_permute: int, min_p: float, rng: np.random.Generator, uniform: bool = False) -> float:
+def permutation_p(table: np.ndarray, n_permute: int, min_p: float, rng: np.random.Generator, uniform: bool = False, normal: bool = False) -> float:
     """p-value of the root mean square test of a (samples x 2) table: counts start at 1; once more permuted tables than
     ``n_permute * min_p`` fit worse, the share so far is returned. Samples without reads are never drawn and fit in every
-    table, so they are left out; draws come in runs that grow, as most sites are decided early."""
+    table, so they are left out; draws come in runs that grow, as most sites are decided early. With ``normal`` the result is the upper tail of the
+    normal distribution with the moments of the permuted statistics so far, at least 1e-14."""
     if not uniform:
         table = table[table.sum(1) > 0]
     n, m = len(table), int(table.sum())
@@ -64,20 +66,28 @@ def permutation_p(table: np.ndarray, n_permute: int, min_p: float, rng: np.rando
     e = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / m
     p = np.full(2 * n, 0.5 / n) if uniform else np.maximum((e / m).ravel(), 0)
     p = p / p.sum()
-    worse, done, size = 1, 0, 64
+    worse, done, size, seen = 1, 0, 64, []
     while done < n_permute:
         size = min(2 * size, 1024, n_permute - done)
-        hit = fit(rng.multinomial(m, p, size).reshape(size, n, 2).astype(float)) >= real - 1e-12
-        run = worse + np.cumsum(hit)
+        s = fit(rng.multinomial(m, p, size).reshape(size, n, 2).astype(float))
+        run = worse + np.cumsum(s >= real - 1e-12)
         over = np.flatnonzero(run > n_permute * min_p)
         if len(over):
             i = done + int(over[0])
+            if normal:
+                return _normal_p(np.concatenate([*seen, s[: over[0]]]), real)
             return float(run[over[0]] / (i + 2))
         worse, done = int(run[-1]), done + size
-    return min(1.0, worse / n_permute)
+        seen.append(s)
+    return _normal_p(np.concatenate(seen), real) if normal else min(1.0, worse / n_permute)
 
 
-def rms_test(mc: Column, cov: Column, seed: Column, n_permute: int = 3000, min_p: float = 0.034, uniform: bool = False) -> Column:
+def _normal_p(statistics: np.ndarray, real: float) -> float:
+    sd = statistics.std() if len(statistics) else 0.0
+    return 1.0 if sd == 0 else max(0.5 * math.erfc((real - statistics.mean()) / sd / math.sqrt(2)), 1e-14)
+
+
+def rms_test(mc: Column, cov: Column, seed: Column, n_permute: int = 3000, min_p: float = 0.034, uniform: bool = False, normal: bool = False) -> Column:
     """The permutation test of one site from its samples' arrays of mc and cov. Draws come from ``seed`` (a BIGINT of the
     site), so a row gives the same p-value wherever it runs. Null arrays give null; the arrays of a row are of one length."""
 
@@ -94,24 +104,17 @@ def rms_test(mc: Column, cov: Column, seed: Column, n_permute: int = 3000, min_p
         open_ = ~null & (uniform | (np.diff(some) > 1) & (np.diff(low) > 0) & (np.diff(low) < np.diff(all_)))
         for i in np.flatnonzero(open_):
             m, c = a[begins[i] : begins[i + 1]], b[begins[i] : begins[i + 1]]
-            out[i] = permutation_p(np.stack([m, c - m], 1), n_permute, min_p, np.random.default_rng(int(seeds[i]) & 0xFFFFFFFFFFFFFFFF), uniform)
+            out[i] = permutation_p(np.stack([m, c - m], 1), n_permute, min_p, np.random.default_rng(int(seeds[i]) & 0xFFFFFFFFFFFFFFFF), uniform, normal)
         return pa.array(out, mask=null)
 
     return test(mc, cov, seed)
 
 
-def normal_p(statistics: np.ndarray, real: float) -> float:
-    """Upper tail of the normal distribution with the moments of the permuted statistics, at least 1e-14."""
-    import math
-
-    sd = statistics.std()
-    return 1.0 if sd == 0 else max(0.5 * math.erfc((real - statistics.mean()) / sd / math.sqrt(2)), 1e-14)
-
-
-def call_dms(sites: DataFrame, samples: Sequence[str], n_permute: int = 3000, min_p: float = 0.034, p_cutoff: float | None = 0.01, max_row: int = 50, max_total: int = 3000) -> DataFrame:
+def call_dms(sites: DataFrame, samples: Sequence[str], n_permute: int = 3000, min_p: float = 0.034, p_cutoff: float | None = 0.01, max_row: int = 50, max_total: int = 3000, estimate_p: bool = False) -> DataFrame:
     """chrom, pos, p_value, q_value and the arrays mc, cov, frac, residual in the order of ``samples`` (absent samples
     as 0, their frac and residual null). One row per site: the samples of a site, not its reads, meet in a row. Sites
-    with p above ``p_cutoff`` are left out after q-values were taken over all."""
+    with p above ``p_cutoff`` are left out after q-values were taken over all. ``estimate_p``: p-values from a normal
+    distribution fitted to the permuted statistics, which go below one in ``n_permute``."""
     at = F.create_map(*[F.lit(x) for i, s in enumerate(samples) for x in (s, i)])
     long = residuals(sites.where(F.col("sample").isin(*samples)).groupBy("chrom", "pos", "sample").agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov")))
     packed = long.groupBy("chrom", "pos").agg(F.map_from_entries(F.collect_list(F.struct(F.element_at(at, F.col("sample")), F.struct("mc", "cov", "residual")))).alias("m"))
@@ -126,7 +129,7 @@ def call_dms(sites: DataFrame, samples: Sequence[str], n_permute: int = 3000, mi
     packed = packed.withColumn("frac", F.zip_with("mc", "cov", lambda m, c: F.try_divide(m, c)))
     small = F.zip_with("mc", "cov", lambda m, c: F.struct(*[x.alias(k) for x, k in zip(downsampled(m, c - m, F.lit(len(samples)), max_row, max_total), ("m", "u"))]))
     packed = packed.withColumn("__s", small)
-    test = rms_test(F.transform("__s", lambda s: s["m"]), F.transform("__s", lambda s: s["m"] + s["u"]), F.xxhash64("chrom", "pos"), n_permute, min_p)
+    test = rms_test(F.transform("__s", lambda s: s["m"]), F.transform("__s", lambda s: s["m"] + s["u"]), F.xxhash64("chrom", "pos"), n_permute, min_p, normal=estimate_p)
     # kept, because a range sort reads its input twice and the draws are the dear part
     tested = benjamini_hochberg(cut(packed.withColumn("p_value", test).drop("__s")), "p_value", "q_value")
     return tested.where(F.col("p_value") <= p_cutoff) if p_cutoff is not None else tested

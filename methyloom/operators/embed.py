@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import log_gamma
 from ..schema import few_values
+from ..session import cut
 from .ranking import global_rank
 
 #: Query vectors that are compared with all rows at once.
@@ -137,9 +138,33 @@ def cca(x: DataFrame, y: DataFrame, dim: int, k: int) -> tuple[DataFrame, DataFr
     return out[0], out[1], s[:k]
 
 
-def top_features(axes: np.ndarray, per_axis: int) -> list[int]:
-    """The features with the ``per_axis`` largest absolute loadings of each axis, each once, in order."""
-    return sorted({int(i) for axis in np.abs(axes).T for i in np.argsort(-axis, kind="stable")[:per_axis]})
+def top_features(loadings: np.ndarray, n: int) -> np.ndarray:
+    """The places of the features (rows of ``loadings``) that are among the first i by absolute loading of any component
+    (column), for the least i, from n / components on, that gives more than ``n`` of them; at most ten times as many a
+    component are looked at."""
+    rows, parts = loadings.shape
+    most = min(n * 10 // parts, rows - 1)
+    place = np.argsort(np.argsort(-np.abs(loadings), axis=0, kind="stable"), axis=0, kind="stable").min(1)
+    enough = [i for i in range(n // parts + 1, most) if (place < i).sum() > n]
+    return np.flatnonzero(place < (enough[0] if enough else most))
+
+
+def density_sample(vectors: DataFrame, size: int | None = None, portion: float | None = None, k: int = 20, seed: int = 0) -> DataFrame:
+    """``size`` rows (or ``portion`` of all) of ``vectors`` (id, v), fewer where they lie dense: a row is drawn, without
+    putting back, with the root of its scaled local outlier factor among its ``k`` nearest as weight. Neighbours are
+    exact (:func:`knn`); draws come from a seeded hash, so they are the same wherever they run."""
+    if (size is None) == (portion is None):
+        raise ValueError("give size or portion")
+    near = cut(knn(vectors, vectors, k))
+    far = near.groupBy("id").agg(F.max("dist").alias("far"))
+    reach = near.join(far.select(F.col("id").alias("other"), "far"), "other").groupBy("id").agg((1 / (F.avg(F.greatest("dist", "far")) + 1e-10)).alias("density"))
+    factor = near.join(reach.select(F.col("id").alias("other"), F.col("density").alias("theirs")), "other").groupBy("id").agg(F.avg("theirs").alias("theirs")).join(reach, "id").select("id", (F.col("theirs") / F.col("density")).alias("factor"))
+    span = factor.agg(F.min("factor").alias("lo"), F.max("factor").alias("hi"), F.count("*").alias("n")).first()
+    most = size if size is not None else int(span.n * portion)
+    weight = F.sqrt((F.col("factor") - F.lit(span.lo)) / F.lit((span.hi or 0) - (span.lo or 0))) if span.n and span.hi > span.lo else F.lit(1.0)
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    drawn = factor.select("id", weight.alias("w")).orderBy(F.try_divide(-F.ln(uniform), "w").asc_nulls_last(), "id").limit(most)
+    return vectors.join(drawn.select("id"), "id", "left_semi")
 
 
 def common_features(left: DataFrame, right: DataFrame, feature: str = "region") -> tuple[DataFrame, DataFrame]:
@@ -363,8 +388,6 @@ def normalised_confusion(labels: DataFrame, true: str, predicted: str) -> DataFr
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, component (its least id) of the graph of edges (a, b): least labels spread along edges and are then shortened,
     until none changes; each round's labels are kept in the shared folder."""
-    from ..session import cut
-
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")))
     while True:

@@ -145,6 +145,17 @@ def merge_cluster(counts: DataFrame, clusters: DataFrame) -> DataFrame:
     return out.withColumn("frac", F.try_divide(F.col("mc"), F.col("cov")))
 
 
+# The largest count of each kind of integer a table may be stored with.
+LARGEST = {"bool": 1, "int8": 127, "uint8": 255, "int16": 32767, "uint16": 65535, "int32": 2147483647, "uint32": 4294967295, "int64": 9223372036854775807}
+
+
+def clipped(counts: DataFrame, kind: str, columns: Sequence[str] = ("mc", "cov")) -> DataFrame:
+    """``counts`` whose ``columns`` are at most what an integer of ``kind`` holds; they stay BIGINT."""
+    if kind not in LARGEST:
+        raise ValueError(f"unknown kind: {kind}")
+    return counts.withColumns({c: F.least(F.col(c), F.lit(LARGEST[kind])) for c in columns})
+
+
 def rebin(bins: DataFrame, bin_size: int, window: int, step: int) -> DataFrame:
     """Sums over sliding windows of ``window`` bins, every ``step`` bins, from rows of cell, chrom, start, mc_type, mc, cov."""
     i = F.floor(F.col("start") / bin_size)

@@ -110,6 +110,14 @@ def windows(chrom_sizes: DataFrame, window: int, step: int | None = None) -> Dat
     return chrom_sizes.select("chrom", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step or window).cast("long"))).alias("start")).select("chrom", "start", F.least(F.col("start") + window, F.col("size")).alias("end"))
 
 
+def chunk_intervals(boundaries: DataFrame) -> DataFrame:
+    """chrom, start, end between every two boundaries (chrom, pos) of a chromosome that follow each other."""
+    from pyspark.sql import Window
+
+    ends = boundaries.select("chrom", F.col("pos").alias("start"), F.lead("pos").over(Window.partitionBy("chrom").orderBy("pos")).alias("end"))
+    return ends.where("end IS NOT NULL")
+
+
 def genome_bin_ids(chrom_sizes: DataFrame, bin_size: int) -> DataFrame:
     """chrom, offset: the global number of each chromosome's first bin (size div bin + 1 bins each, in genome order).
     One row per chromosome."""

@@ -106,6 +106,15 @@ def standardize(sites: DataFrame, chrom_sizes: DataFrame, remove_additional: boo
     return rows.join(known, "chrom", "left_semi")
 
 
+def check_chroms(sites: DataFrame, chrom_sizes: DataFrame, modified: str | None = None, indexed: str | None = None) -> DataFrame:
+    """known, within, fresh: whether all chromosomes of a table of sites (chrom, pos) are in ``chrom_sizes``, whether all
+    positions lie on them, and whether the index column (``indexed``, a time) is not older than ``modified``; null where
+    neither column is named."""
+    sized = sites.join(chrom_sizes.select("chrom", "size"), "chrom", "left")
+    fresh = F.coalesce(F.bool_and(F.col(indexed) >= F.col(modified)), F.lit(True)) if modified and indexed else F.lit(None).cast("boolean")
+    return sized.agg(F.coalesce(F.bool_and(F.col("size").isNotNull()), F.lit(True)).alias("known"), F.coalesce(F.bool_and(F.col("pos").between(1, F.col("size"))), F.lit(True)).alias("within"), fresh.alias("fresh"))
+
+
 def genome_order(df: DataFrame, chrom_sizes: DataFrame, *then: str) -> DataFrame:
     """``df`` sorted by the order of ``chrom_sizes``, then by ``then``; unknown chromosomes are left out."""
     return df.join(chrom_sizes.select("chrom", "chrom_order"), "chrom").orderBy("chrom_order", *then)

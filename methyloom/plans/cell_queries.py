@@ -123,6 +123,15 @@ def pca_variance(spark, sf):
     return spark.createDataFrame([(i, round(float(v), 8), round(float(s), 8)) for i, (v, s) in enumerate(zip(p.variance, p.share))], "i INT, variance DOUBLE, share DOUBLE")
 
 
+@query("""WITH u AS (SELECT cell, any_value(X_pca)::DOUBLE[64] AS v FROM adata WHERE cell IS NOT NULL AND len(X_pca) = 64 AND len(list_filter(X_pca, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(X_pca, lambda x: x <> 0)) > 0 GROUP BY 1),
+  x AS (SELECT cell, unnest(range(0, 64)) AS i, unnest(v) AS x FROM u), c AS (SELECT a.i AS i, b.i AS j, covar_pop(a.x, b.x) AS c FROM x a JOIN x b USING (cell) GROUP BY 1, 2)
+  SELECT round(sum(CASE WHEN i = j THEN c END), 5) AS trace, round(sum(c * c), 5) AS squares, 64 AS n FROM c""")
+def pca_moments(spark, sf):
+    """What the variances of all components must add up to: the trace and the squared entries of the covariance."""
+    p = em.Pca(vectors(spark, sf), 64, 64)
+    return spark.createDataFrame([(round(float(p.variance.sum()), 5), round(float((p.variance**2).sum()), 5), len(p.variance))], "trace DOUBLE, squares DOUBLE, n INT")
+
+
 @query()
 def balanced_pca(spark, sf):
     v = vectors(spark, sf).where("label IS NOT NULL")

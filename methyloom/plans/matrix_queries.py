@@ -95,6 +95,22 @@ def filter_feature_by_cov_mean(spark, sf):
     return mx.filter_feature_by_cov_mean(counts(spark, sf), 0.5, 100).groupBy("region").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {COUNTS}, a AS (SELECT * FROM counts WHERE mc_type = 'CGN' AND cov > 20), b AS (SELECT * FROM counts WHERE mc_type = 'CHN' AND mc > 100)
+  SELECT region, 'a' AS side, count(*) AS n FROM a WHERE region IN (SELECT region FROM b) GROUP BY 1 UNION ALL SELECT region, 'b', count(*) FROM b WHERE region IN (SELECT region FROM a) GROUP BY 1""")
+def common_features(spark, sf):
+    from ..operators.embed import common_features as common
+
+    c = counts(spark, sf)
+    both = zip("ab", common(c.where("mc_type = 'CGN' AND cov > 20"), c.where("mc_type = 'CHN' AND mc > 100")))
+    a, b = (d.groupBy("region").agg(F.count("*").alias("n")).withColumn("side", F.lit(k)) for k, d in both)
+    return a.unionByName(b)
+
+
+@query(f"WITH {COUNTS} SELECT region, CAST(sum(least(mc, 127)) AS BIGINT) AS mc, CAST(sum(least(cov, 127)) AS BIGINT) AS cov FROM counts GROUP BY 1")
+def clipped_counts(spark, sf):
+    return mx.clipped(counts(spark, sf), "int8").groupBy("region").agg(F.sum("mc").alias("mc"), F.sum("cov").alias("cov"))
+
+
 @query(f"WITH {SPELL}, {REGIONS} SELECT region FROM regions WHERE chrom NOT IN ('chrX', 'chrY', 'chrM')")
 def remove_chromosome(spark, sf):
     return mx.remove_chromosomes(regions(spark, sf), exclude=["chrX", "chrY", "chrM"]).select("region")

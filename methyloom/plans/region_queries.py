@@ -81,6 +81,20 @@ def genome_windows(spark, sf):
     return rj.windows(chrom_sizes(spark, sf), 1_000_000, 500_000)
 
 
+@query(f"""{_R} SELECT chrom, start, "end" FROM (SELECT chrom, start, lead(start) OVER (PARTITION BY chrom ORDER BY start) AS "end" FROM (SELECT DISTINCT chrom, start FROM regions)) WHERE "end" IS NOT NULL""")
+def chunk_intervals(spark, sf):
+    return rj.chunk_intervals(regions(spark, sf).select("chrom", F.col("start").alias("pos")).distinct())
+
+
+@query(f"""{_R} SELECT chrom, round(lo - (hi - lo) * 0.1::DOUBLE, 6) AS low, round(hi + (hi - lo) * 0.1::DOUBLE, 6) AS high FROM (SELECT chrom, min(start) AS lo, max("end") AS hi FROM regions GROUP BY 1)""")
+def zoomed_ranges(spark, sf):
+    from ..functions.sequence import zoomed_range
+
+    r = regions(spark, sf).groupBy("chrom").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+    low, high = zoomed_range(F.col("lo"), F.col("hi"), 1.2)
+    return r.select("chrom", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
 @query("""SELECT chrom, CAST(coalesce(sum(size // 100000 + 1) OVER (ORDER BY chrom_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM chrom_sizes""")
 def genome_bin_ids(spark, sf):
     return rj.genome_bin_ids(chrom_sizes(spark, sf), 100_000)

@@ -30,6 +30,14 @@ def allc_chroms(spark, sf):
     return sites(spark, sf).groupBy("chrom").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {SPELL}, c AS (SELECT size, pos, written_at FROM allc LEFT JOIN chrom_sizes USING (chrom) LEFT JOIN allc_table USING (file_uid) WHERE pos IS NOT NULL)
+  SELECT bool_and(size IS NOT NULL) AS known, bool_and(pos BETWEEN 1 AND size) AS within, coalesce(bool_and(written_at >= TIMESTAMP '2024-01-01'), true) AS fresh FROM c""")
+def check_chroms(spark, sf):
+    """Whether the table as delivered names only known chromosomes, in their spelling."""
+    a = table(spark, sf, "allc").where("pos IS NOT NULL").join(table(spark, sf, "allc_table").select("file_uid", "written_at"), "file_uid", "left")
+    return so.check_chroms(a.withColumn("since", F.lit("2024-01-01").cast("timestamp")), chrom_sizes(spark, sf), "since", "written_at")
+
+
 @query(f"WITH {SITES} SELECT cell, pos, mc, cov FROM sites WHERE chrom = 'chr1' AND pos > 10000000 AND pos <= 60000000")
 def fetch_region(spark, sf):
     return so.fetch(sites(spark, sf), "chr1", 10_000_000, 60_000_000).select("cell", "pos", "mc", "cov")
@@ -172,6 +180,13 @@ def context_codebook(spark, sf):
     return book.groupBy("chrom", "context").agg(F.count("*").alias("n"), F.count_if("CGN").alias("cgn"), F.count_if("CHN").alias("chn"))
 
 
+@query("""SELECT event_type, value, CASE WHEN value = 0 THEN '0' WHEN value > 0.01 AND value < 1 THEN rtrim(printf('%.2f', value), '0') WHEN value >= 1 AND value < 100 THEN CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR)
+  ELSE regexp_replace(printf('%.2E', value), 'E([+-])0', 'E\\1') END AS label FROM (SELECT DISTINCT event_type, round(value, 3) * (CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0.001 END) AS value FROM events WHERE value IS NOT NULL)""")
+def number_labels(spark, sf):
+    e = table(spark, sf, "events").where("value IS NOT NULL").select("event_type", (F.round("value", 3) * F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(0.001)).alias("value")).distinct()
+    return e.select("*", sq.number_label(F.col("value")).alias("label"))
+
+
 @query("""SELECT bases, plain, n AS n_dot FROM (VALUES ('.,+2AG.T', '.,.T', 2), ('^].-3ACG$,a', '.,a', 1), ('..+12AAAAAAAAAAAAC', '..C', 2), ('', '', 0)) t(bases, plain, n)""")
 def pileup_bases(spark, sf):
     p = spark.createDataFrame([(".,+2AG.T",), ("^].-3ACG$,a",), ("..+12AAAAAAAAAAAAC",), ("",)], "bases STRING")

@@ -63,6 +63,12 @@ def read_allc_table(spark: SparkSession, table: DataFrame) -> DataFrame:
     return rows.join(ids, "__p").drop("__p")
 
 
+def file_facts(spark: SparkSession, path: str) -> DataFrame:
+    """file, size, gzip, md5 of the files that ``path`` names: whether they begin like gzip, and the digest of their bytes."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("path").alias("file"), F.col("length").alias("size"), (F.substring("content", 1, 2) == F.lit(b"\x1f\x8b")).alias("gzip"), F.md5("content").alias("md5"))
+
+
 def read_chrom_sizes(spark: SparkSession, path: str, remove: Sequence[str] = ()) -> DataFrame:
     """chrom, size, chrom_order from a chrom.sizes or .fai file (further columns are ignored), in file order."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("chrom_order", "line")).where("trim(line) <> ''")

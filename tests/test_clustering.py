@@ -85,3 +85,38 @@ def test_dmr_table_and_project(spark, tmp_path):
     assert sorted(tuple(r) for r in states.collect()) == [("chr1-20-30", "a", -1), ("chr1-5-9", "a", 1), ("chr1-5-9", "b", 1), ("chr1-5-9", "c", -1)]
     (tmp_path / "p.json").write_text('{"metadata": "m.csv", "matrices": {"x": "/abs/*"}}')
     assert readers.read_project(str(tmp_path / "p.json")) == {"metadata": str(tmp_path / "m.csv"), "matrices": {"x": "/abs/*"}}
+
+
+def test_features_and_samples(spark):
+    from methyloom.operators import embed as em
+
+    load = np.array([[9, 0], [8, 1], [0, 7], [1, 6], [5, 5]], float)
+    assert em.top_features(load, 2).tolist() == [0, 1, 2, 3]
+    rng = np.random.default_rng(2)
+    dense, thin = rng.normal(size=(150, 2)) * 0.1, rng.normal(size=(50, 2)) * 3 + 20
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(np.vstack([dense, thin, [[300.0, 300.0]]]))]
+    v = spark.createDataFrame(rows, "id BIGINT, v ARRAY<DOUBLE>").repartition(3)
+    got = [r.id for r in em.density_sample(v, size=60, k=10).collect()]
+    assert len(got) == len(set(got)) == 60 and got == [r.id for r in em.density_sample(v, portion=0.3, k=10).collect()]
+    assert 200 in got
+
+
+def test_a_classifier_can_be_given(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    from methyloom.operators import clustering as cl
+
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(i % 2 * 9 + a) for a in rng.normal(size=3)], -1 if i < 6 else i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id BIGINT, v ARRAY<DOUBLE>, cluster INT")
+    done, _, accuracy = cl.supervised(df, max_train=20, classifier=LogisticRegression(labelCol="cluster"))
+    assert accuracy == 1.0 and {r.id: r.cluster for r in done.collect()} == {i: i % 2 for i in range(120)}
+
+
+def test_signatures_are_linked_without_a_cap(spark):
+    from methyloom.operators import clustering as cl
+
+    sigs = [[0, 0, 0, 0], [0, 0, 0, 1], [0, 0, 1, 1], [5, 5, 5, 5], [5, 5, 5, 6], [9, 8, 7, 6]]
+    rows = [(f"{i}-{j}", [0.0], s) for i, s in enumerate(sigs) for j in range(4)]
+    got = {r.id: r.cluster for r in cl.consensus(spark.createDataFrame(rows, "id STRING, v ARRAY<DOUBLE>, runs ARRAY<INT>"), 0.7, 5).collect()}
+    assert got == {i: 0 if i[0] in "012" else 1 if i[0] in "34" else -1 for i, _, _ in rows}

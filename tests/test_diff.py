@@ -75,3 +75,45 @@ def test_pca_and_components(spark):
     u, v = (np.array([r.v for r in d.orderBy("id").collect()]) for d in (a, b))
     xs, ys = ((m - m.mean(0)) / m.std(0) for m in (x[:80], x[80:]))
     assert np.allclose(s, np.linalg.svd(xs @ ys.T)[1][:2]) and np.allclose(u.T @ u, np.eye(2), atol=1e-8) and np.allclose(v.T @ v, np.eye(2), atol=1e-8)
+
+
+def test_called_sites_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for pos in range(1, 60):
+        for s in ("a", "b", "c"):
+            if rng.random() < 0.8:
+                cov = int(rng.integers(1, 90))
+                rows.append(("chr1", pos * 40, s, int(rng.binomial(cov, 0.9 if pos % 9 == 0 and s == "a" else 0.3)), cov))
+    rows += [("chr1", 5000, "a", 4, 9), ("chr1", 5001, "a", 0, 9), ("chr1", 5001, "b", 0, 3)]
+    df = spark.createDataFrame(rows, "chrom STRING, pos BIGINT, sample STRING, mc BIGINT, cov BIGINT").repartition(3)
+    seeds = {r.pos: r.s for r in df.select("pos", F.xxhash64("chrom", "pos").alias("s")).distinct().collect()}
+    names, most = ["a", "b", "c"], 50.0
+    want = {}
+    for pos in {r[1] for r in rows}:
+        t = np.zeros((3, 2), np.int64)
+        for _, p, s, m, c in rows:
+            if p == pos:
+                pair = (m, c - m) if c <= most else (int(most * (m / c)), int(most * ((c - m) / c)))
+                t[names.index(s)] = pair
+        want[pos] = diff.permutation_p(t, 300, 0.034, np.random.default_rng(seeds[pos] & 0xFFFFFFFFFFFFFFFF))
+    got = {r.pos: (r.p_value, r.q_value) for r in diff.call_dms(df, names, n_permute=300, p_cutoff=None).collect()}
+    assert {p: v[0] for p, v in got.items()} == want and got[5000][0] == got[5001][0] == 1.0
+    order = sorted(want, key=lambda p: want[p])
+    q, run = {}, 1.0
+    for i in range(len(order) - 1, -1, -1):
+        run = min(run, want[order[i]] * len(order) / (i + 1))
+        q[order[i]] = run
+    assert all(np.isclose(got[p][1], q[p]) for p in want)
+    dms = diff.call_dms(df, names, n_permute=300, p_cutoff=None)
+    found = diff.call_dmr(dms, names, p_cutoff=0.05).collect()
+    use = [p for p in want if want[p] <= 0.05]
+    assert found and sum(r.ndms for r in found if r.sample == "a") <= len(use) and all(r.end - r.start >= 2 for r in found)
+
+
+def test_normal_estimate_goes_below_the_permutations():
+    far = np.array([[40, 2], [2, 40], [20, 20]])
+    p = diff.permutation_p(far, 500, 0.034, np.random.default_rng(0), normal=True)
+    assert 1e-14 <= p < 1e-4
+    near = diff.permutation_p(np.array([[10, 10], [11, 9]]), 500, 0.9, np.random.default_rng(0), normal=True)
+    assert near > 0.1
