@@ -266,14 +266,14 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
 
     dk, ik = docs.schema[doc_id].dataType, items.schema[item_id].dataType
     schema = f"`{doc_id}` {dk.simpleString()}, `{item_id}` {ik.simpleString()}, words INT, at_word INT"
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     blocks = []
     for ids, texts in _blocks(items, item_id, text, block_bytes):
         index = Index(texts, least_words)
         if len(index.starts):
-            blocks.append(context.broadcast((index, pa.array(ids, to_arrow_type(ik)))))
+            blocks.append(spark.sparkContext.broadcast((index, pa.array(ids, to_arrow_type(ik)))))
     if not blocks:
-        return docs.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
