@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def fetch_contacts(contacts: DataFrame, chrom: str, start: int, end: int, bin_size: int) -> DataFrame:
     """The pixels of one window: bins start // size to end // size, both included."""
@@ -52,14 +54,36 @@ def diagonal_filled(matrix: DataFrame, bins: DataFrame | None = None, size: int
 def abc_scores(tss: DataFrame, enhancers: DataFrame, matrix: DataFrame, bin_size: int, max_dist: int = 5_000_000, cutoff: float = 0.02, bins: DataFrame | None = None) -> DataFrame:
     """enhancer, tss, abc: activity times contact of an enhancer over the sum for its gene, above ``cutoff``. ``tss``:
     tss, chrom, pos; ``enhancers``: enhancer, chrom, pos, activity. Contact pixels drive the join, so pairs without a
-    contact are never made; the diagonal is filled from its neighbours."""
+    contact are never made; the diagonal is filled from its neighbours.
+
+    The sum is the same for all genes of a bin: its pixels times the activity of the bins they lead to. So enhancers meet
+    pixels, not genes, and of them only those above the cutoff go on to the genes of the bin: no other pair is shuffled.
+    A ``tss`` of several rows has the sum over all of them; in its bins, enhancers are kept that are above the cutoff of
+    the smallest or the largest sum there, and its own decides."""
+    matrix = stored(matrix.select("chrom", "bin1", "bin2", "value"), "matrix")
     full = diagonal_filled(matrix, bins)
     full = full.unionByName(full.where("bin1 <> bin2").select("chrom", F.col("bin2").alias("bin1"), F.col("bin1").alias("bin2"), "value")).where(F.abs(F.col("bin1") - F.col("bin2")) < max_dist // bin_size)
     t = tss.select("tss", "chrom", F.floor(F.col("pos") / bin_size).alias("bin1"))
     e = enhancers.select("enhancer", "chrom", "activity", F.floor(F.col("pos") / bin_size).alias("bin2"))
-    raw = full.join(t, ["chrom", "bin1"]).join(e, ["chrom", "bin2"]).select("tss", "enhancer", (F.col("activity") * F.col("value")).alias("raw"))
-    total = F.sum("raw").over(Window.partitionBy("tss"))
-    return raw.withColumn("abc", F.col("raw") / (total + 1e-9)).where(F.col("abc") > cutoff).select("enhancer", "tss", "abc")
+    sums = e.groupBy("chrom", "bin2").agg(F.sum("activity").alias("__sum"))
+    total = F.sum(F.col("value") * F.col("__sum")).over(Window.partitionBy("chrom", "bin1"))
+    pixels = full.join(sums, ["chrom", "bin2"]).withColumn("total", total).drop("__sum")
+
+    def share(of: Column) -> Column:
+        return F.col("raw") / (of + 1e-9)
+
+    of, keep = F.col("total"), share(F.col("total")) > cutoff
+    again = stored(t.groupBy(F.xxhash64("tss").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id"), "again")
+    if not again.isEmpty():
+        rows = t.withColumn("__id", F.xxhash64("tss")).join(again, "__id", "left_semi").drop("__id").join(pixels.groupBy("chrom", "bin1").agg(F.max("total").alias("total")), ["chrom", "bin1"])
+        own = stored(rows.groupBy(F.col("tss").alias("__tss")).agg(F.sum("total").alias("own")), "own")
+        ends = rows.join(own, F.col("tss").eqNullSafe(F.col("__tss"))).groupBy("chrom", "bin1").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+        t = t.join(own, F.col("tss").eqNullSafe(F.col("__tss")), "left").drop("__tss")
+        pixels = pixels.join(ends, ["chrom", "bin1"], "left")
+        low, high = F.least("low", "total"), F.greatest("high", "total")
+        of, keep = F.coalesce("own", "total"), F.when(low + 1e-9 > 0, (share(low) > cutoff) | (share(high) > cutoff)).otherwise(True)
+    near = pixels.join(e, ["chrom", "bin2"]).withColumn("raw", F.col("activity") * F.col("value")).where(keep).select("chrom", "bin1", "enhancer", "raw", "total")
+    return t.join(near, ["chrom", "bin1"]).withColumn("abc", share(of)).where(F.col("abc") > cutoff).select("enhancer", "tss", "abc")
 
 
 def insulation(matrix: DataFrame, window: int) -> DataFrame:
